@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..functions import scalars
 from ..operators import bands, decisions, filters, layers, quality, slices
 from ..plans import features, lifecycle, monitoring, predictions, questions, registry, scoring, training
 from ..schemas import GRAIN
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from ..sources import events, order_lines
 from ..sources.tables import create_database
 
@@ -103,18 +104,17 @@ def _incumbent_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = _predictions(spark, sf_dir).withColumns(
         {"predicted_ctr_champion": F.col("predicted_ctr_stale"), "model_version_champion": F.lit("1")}
     )
-    return monitoring.monitoring_metrics(live).drop("computed_at")
+    return materialize(monitoring.monitoring_metrics(live).drop("computed_at"))
 
 
-def _decision_log(spark: SparkSession, sf_dir: str, evaluations: list[datetime]) -> DataFrame:
-    """Decisions of several evaluations, each seeing the days before it and the log so far."""
-    metrics = _incumbent_metrics(spark, sf_dir)
-    log = None
+def _decisions(metrics: DataFrame, evaluations: list[datetime]) -> list[DataFrame]:
+    """The decisions of several evaluations, each seeing the days before it and the log so far."""
+    decided: list[DataFrame] = []
     for now in evaluations:
         known = metrics.where(F.col("metric_date") < F.lit(now.date()))
-        decided = decisions.retrain_decisions(known, POLICY, now, log)
-        log = decided if log is None else log.unionByName(decided)
-    return log
+        log = reduce(DataFrame.unionByName, decided) if decided else None
+        decided.append(materialize(decisions.retrain_decisions(known, POLICY, now, log)))
+    return decided
 
 
 def _naive(df: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def order_line_segment_daily(spark, sf_dir):
     silver = layers.silver_impressions(
         order_lines.impressions(spark, sf_dir), order_lines.DRIFT_START, order_lines.DRIFT_BRANDS
     )
-    return rounded(layers.segment_ctr_daily(silver), 4)
+    return rounded(layers.segment_ctr_daily(silver))
 
 
 # ---- lookups ------------------------------------------------------------
@@ -325,16 +325,13 @@ def monitoring_metrics(spark, sf_dir):
 
 
 def retrain_decision(spark, sf_dir):
-    """The last evaluation of the log, for every slice."""
-    log = _decision_log(spark, sf_dir, EVALUATIONS[:2])
-    metrics = _incumbent_metrics(spark, sf_dir)
-    now = EVALUATIONS[2]
-    known = metrics.where(F.col("metric_date") < F.lit(now.date()))
-    return rounded(_naive(decisions.retrain_decisions(known, POLICY, now, log)))
+    """The third evaluation, for every slice."""
+    return rounded(_naive(_decisions(_incumbent_metrics(spark, sf_dir), EVALUATIONS[:3])[-1]))
 
 
 def decision_history(spark, sf_dir):
-    return rounded(_naive(decisions.decision_history(_decision_log(spark, sf_dir, EVALUATIONS))))
+    log = reduce(DataFrame.unionByName, _decisions(_incumbent_metrics(spark, sf_dir), EVALUATIONS))
+    return rounded(_naive(decisions.decision_history(log)))
 
 
 def promotion_gate(spark, sf_dir):
@@ -388,7 +385,7 @@ def dq_metric_coverage(spark, sf_dir):
 
 
 def gbt_scored(spark, sf_dir):
-    frame = training.materialize(features.feature_frame(_segments(spark, sf_dir)))
+    frame = materialize(features.feature_frame(_segments(spark, sf_dir)))
     stale = training.train_stale(frame, QUICK_STALE)
     ready = training.prepared(frame)
     best = {"feature_set": "fs_c_full", "params": QUICK_STALE}
@@ -451,7 +448,7 @@ def dq_registry(spark, sf_dir):
         .unionByName(quality.trial_count_check(spark.table(f"{database}.{lifecycle.RUNS}"), 3, 1))
         .unionByName(quality.decisions_recorded_check(spark.table(f"{database}.{lifecycle.DECISIONS}"), 2))
     )
-    checks = training.materialize(checks)
+    checks = materialize(checks)
     spark.sql(f"DROP DATABASE {database} CASCADE")
     return checks
 

@@ -316,7 +316,7 @@ def oracle_sql() -> dict[str, str]:
         "order_line_segment_daily": _with(
             ORDER_LINES,
             f"SELECT {SEGMENT_COLUMNS}, impressions, clicks, conversions, is_drift_window, is_drift_segment, "
-            + _r(["actual_ctr", "actual_cvr", "spend_usd", "conversion_value_usd"], 4) + " FROM seg",
+            + _r(["actual_ctr", "actual_cvr", "spend_usd", "conversion_value_usd"]) + " FROM seg",
         ),
         "band_lookup": _with(IMPRESSIONS, "SELECT event_id, device, country, visitor_type FROM placed"),
         "cumulative_bands": _with(

@@ -52,7 +52,7 @@ def binned_band_join(
     """
     length = F.try_subtract("__high", "__low").cast("double")
     finite = length < F.lit(float("inf"))
-    level = F.when(finite, F.ceil(F.log(F.lit(LEVEL_BASE), length)).cast("int")).otherwise(F.lit(OPEN_LEVEL))
+    level = F.when(finite, F.ceil(F.log(LEVEL_BASE, length)).cast("int")).otherwise(F.lit(OPEN_LEVEL))
     table = (
         _renamed(bands, low, high)
         .where(F.col("__low") < F.col("__high"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_match
+from ..sources.tables import literal_rows
 from .slices import OVERALL, SLICE
 
 # A trigger concerns a slice, whichever model version was live.
@@ -65,7 +66,7 @@ def last_triggers(log: DataFrame) -> DataFrame:
 
 def overall_slice(spark: SparkSession) -> DataFrame:
     """The overall slice as a one-row table."""
-    return spark.createDataFrame([OVERALL], "dimension_name string, dimension_value string")
+    return literal_rows(spark, [OVERALL], "dimension_name string, dimension_value string")
 
 
 def retrain_decisions(

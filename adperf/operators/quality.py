@@ -9,6 +9,7 @@ from ..functions.scalars import ratio
 from ..plans.monitoring import MonitorConfig
 from ..plans.questions import SHIFTED_CHANNELS, wasted_spend_rows
 from ..sources.calendar import calendar_spine
+from ..sources.tables import literal_rows
 from .slices import OVERALL
 
 
@@ -132,7 +133,7 @@ def campaigns_with_many_channels(impressions: DataFrame) -> DataFrame:
 
 def values_present(df: DataFrame, column: str, expected: list[str]) -> DataFrame:
     """For every expected value: how many rows carry it, and whether any does."""
-    wanted = df.sparkSession.createDataFrame([(value,) for value in expected], f"{column} string")
+    wanted = literal_rows(df.sparkSession, [(value,) for value in expected], f"{column} string")
     seen = df.groupBy(column).agg(F.count(F.lit(1)).alias("seen"))
     return wanted.join(seen, column, "left").select(
         column,
@@ -164,7 +165,7 @@ def metric_coverage(metrics: DataFrame, config: MonitorConfig = MonitorConfig())
     wanted = [
         (name, days) for name in [OVERALL[0], *config.dimensions] for days in config.windows_days
     ]
-    expected = metrics.sparkSession.createDataFrame(wanted, "dimension_name string, window_days int")
+    expected = literal_rows(metrics.sparkSession, wanted, "dimension_name string, window_days int")
     seen = metrics.groupBy("dimension_name", "window_days").agg(F.count(F.lit(1)).alias("seen"))
     return expected.join(seen, ["dimension_name", "window_days"], "left").select(
         "dimension_name", "window_days",

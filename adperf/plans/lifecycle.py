@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.decisions import RetrainPolicy, as_utc, overall_slice, promotion_gate, retrain_decisions
 from ..operators.layers import campaign_daily_from_segments, segment_ctr_daily, silver_impressions
-from ..sources.tables import append_table, create_database, optional_table, overwrite_table, replace_table
+from ..sources.tables import (
+    append_table, create_database, literal_rows, optional_table, overwrite_table, replace_table,
+)
 from .features import feature_frame
 from .monitoring import MonitorConfig, monitoring_metrics
 from .questions import model_metrics
@@ -137,7 +139,7 @@ def train_initial(
         compared["rmse_misbid_cohort_stale"], compared["rmse_misbid_cohort_champion"],
         compared["rmse_improvement_pct"], rows,
     )
-    return spark.createDataFrame([summary], INITIAL_SCHEMA)
+    return literal_rows(spark, [summary], INITIAL_SCHEMA)
 
 
 def retrain(
@@ -161,7 +163,7 @@ def retrain(
     version = register_version(spark, database, model_name, trained.run_id, path, now)
     candidate = trained.metrics["rmse_misbid_cohort"]
     gate = promotion_gate(
-        spark.createDataFrame([(candidate, incumbent)], "candidate_rmse double, incumbent_rmse double"),
+        literal_rows(spark, [(candidate, incumbent)], "candidate_rmse double, incumbent_rmse double"),
         min_improvement_pct,
     ).first()
     tags = {"promotion_gate": "passed" if gate["promoted"] else "failed", "promotion_reason": gate["reason"]}
@@ -181,4 +183,4 @@ def retrain(
         model_name, version, gate["promoted"], gate["reason"], candidate, incumbent,
         trained.feature_set, rows, trained.run_id,
     )
-    return spark.createDataFrame([summary], SUMMARY_SCHEMA)
+    return literal_rows(spark, [summary], SUMMARY_SCHEMA)

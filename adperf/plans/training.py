@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.weighted import weighted_mae, weighted_r2, weighted_rmse
 from ..session import checkpoint_dir, materialize
+from ..sources.tables import literal_rows
 from .features import FEATURE_SETS, encode, fit_encoder, slot_names, training_weight, with_split
 
 # Ranges of the hyperparameter search.
@@ -237,7 +238,7 @@ def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
     """Importance of every slot of the feature vector, by name."""
     weights = trained.model.featureImportances.toArray()
     rows = [(name, float(weight)) for name, weight in zip(slot_names(trained.encoder), weights)]
-    return spark.createDataFrame(rows, IMPORTANCE_SCHEMA)
+    return literal_rows(spark, rows, IMPORTANCE_SCHEMA)
 
 
 def top_features(importance: DataFrame, top: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dow_sun0
 from ..operators.bands import broadcast_band_join
+from .tables import literal_rows
 
 # Where the drift begins and which campaigns it hits.
 DRIFT_START = date(2024, 1, 21)
@@ -40,7 +41,7 @@ VISITOR_BANDS = [("returning", 0, 9), ("new", 9, 20)]
 
 def campaign_slots(spark: SparkSession) -> DataFrame:
     """The twelve literal campaigns; their number is fixed by this file, so they can be broadcast."""
-    rows = spark.createDataFrame(CAMPAIGNS, "slot int, campaign_id string, channel string, objective string")
+    rows = literal_rows(spark, CAMPAIGNS, "slot int, campaign_id string, channel string, objective string")
     return rows.withColumn("campaign_name", F.concat_ws(" ", "channel", "campaign_id"))
 
 
@@ -69,7 +70,7 @@ def with_visitor_bands(events: DataFrame) -> DataFrame:
         ("country", COUNTRY_BANDS, "country_point"),
         ("visitor_type", VISITOR_BANDS, "visitor_point"),
     ):
-        bands = spark.createDataFrame(rows, f"{name} string, low int, high int")
+        bands = literal_rows(spark, rows, f"{name} string, low int, high int")
         events = broadcast_band_join(events, bands, point)
     return events
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -14,8 +16,13 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """A small table written down in code, with a declared schema."""
-    return spark.createDataFrame(rows, ddl)
+    """A small table written down in code, with a declared schema of plain columns.
+
+    It goes in by Arrow, so the optimizer sees a local relation of known size.
+    """
+    schema = StructType.fromDDL(ddl)
+    columns = {name: pa.array([row[i] for row in rows]) for i, name in enumerate(schema.names)}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
 def optional_table(spark: SparkSession, name: str) -> DataFrame | None:
