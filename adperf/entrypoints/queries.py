@@ -85,12 +85,17 @@ def _campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.campaign_daily(_silver(spark, sf_dir))
 
 
+def _stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment-days as a written table, for queries that read them more than once."""
+    return materialize(_segments(spark, sf_dir))
+
+
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions.group_mean_predictions(_segments(spark, sf_dir), UPPER)
+    return predictions.group_mean_predictions(_stored_segments(spark, sf_dir), UPPER)
 
 
 def _predictions_and_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    segments = _segments(spark, sf_dir)
+    segments = _stored_segments(spark, sf_dir)
     means = predictions.campaign_means(segments)
     return predictions.group_mean_predictions(segments, UPPER, means=means), means
 
@@ -157,7 +162,7 @@ def order_line_segment_daily(spark, sf_dir):
 
 
 def band_lookup(spark, sf_dir):
-    return events.with_visitor_bands(events.keyed_events(spark, sf_dir)).select(
+    return events.join_visitor_bands(events.keyed_events(spark, sf_dir)).select(
         "event_id", "device", "country", "visitor_type"
     )
 
@@ -266,7 +271,10 @@ def _on_waste(question) -> Query:
 
 
 def kpi_row(spark, sf_dir):
-    return rounded(questions.kpi_row(_campaigns(spark, sf_dir), *_predictions_and_means(spark, sf_dir)))
+    segments = _stored_segments(spark, sf_dir)
+    means = predictions.campaign_means(segments)
+    predicted = predictions.group_mean_predictions(segments, UPPER, means=means)
+    return rounded(questions.kpi_row(layers.campaign_daily_from_segments(segments), predicted, means))
 
 
 # ---- model metrics and features -----------------------------------------
@@ -274,7 +282,7 @@ def kpi_row(spark, sf_dir):
 
 def prior_as_stale(spark, sf_dir):
     """The campaign means of the whole period score against the champion of before."""
-    segments = _segments(spark, sf_dir)
+    segments = _stored_segments(spark, sf_dir)
     prior = predictions.group_mean_predictions(segments, UPPER).where(F.col("event_date") < F.lit(date(2024, 1, 28)))
     overall = segments.groupBy("campaign_id").agg(
         scalars.ratio(F.sum("clicks"), F.sum("impressions")).alias("predicted_ctr_champion")
@@ -288,7 +296,7 @@ def feature_frame(spark, sf_dir):
 
 
 def one_hot_wide(spark, sf_dir):
-    frame = features.feature_frame(_segments(spark, sf_dir))
+    frame = features.feature_frame(_stored_segments(spark, sf_dir))
     return features.one_hot_wide(frame, features.fit_encoder(frame, features.FEATURE_SETS["fs_a_core"]))
 
 
@@ -357,10 +365,11 @@ def dq_rows(spark, sf_dir):
 
 
 def dq_mix_and_waste(spark, sf_dir):
-    checks = quality.mix_shift(_campaigns(spark, sf_dir)).unionByName(
-        quality.waste_in_band(*_predictions_and_means(spark, sf_dir), 1.0, 1e12)
-    )
-    return rounded(checks)
+    segments = _stored_segments(spark, sf_dir)
+    means = predictions.campaign_means(segments)
+    predicted = predictions.group_mean_predictions(segments, UPPER, means=means)
+    mix = quality.mix_shift(layers.campaign_daily_from_segments(segments))
+    return rounded(mix.unionByName(quality.waste_in_band(predicted, means, 1.0, 1e12)))
 
 
 def dq_segments(spark, sf_dir):

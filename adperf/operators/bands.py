@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import first_match
 from ..session import materialize
 
 # Up to this many rows a band or weight table counts as small.
@@ -27,6 +28,11 @@ def _renamed(bands: DataFrame, low: str, high: str) -> DataFrame:
     return bands.withColumnsRenamed({low: "__low", high: "__high"})
 
 
+def band_label(x: Column, bands: list[tuple]) -> Column:
+    """Label of the literal band [low, high) that ``x`` lies in, as an expression without a join."""
+    return first_match([((x >= low) & (x < high), F.lit(name)) for name, low, high in bands], None)
+
+
 def broadcast_band_join(
     df: DataFrame, bands: DataFrame, x: str, low: str = "low", high: str = "high", on: list[str] = ()
 ) -> DataFrame:

@@ -88,11 +88,11 @@ def rolling_sums(daily: DataFrame, windows_days: list[int]) -> DataFrame:
     Every frame uses the same partitioning and order, so the daily rows are
     shuffled and sorted once for all N. Missing days count as missing.
     """
-    by_slice = Window.partitionBy(*SLICE)
-    by_day = by_slice.orderBy(F.unix_date("metric_date"))
+    by_day = Window.partitionBy(*SLICE).orderBy(F.unix_date("metric_date"))
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     baseline = F.when(
         F.col("model_version").isNotNull(),
-        _baseline(*[F.sum(name).over(by_slice) for name in BASELINE_SUMS]),
+        _baseline(*[F.sum(name).over(whole) for name in BASELINE_SUMS]),
     )
     frames = []
     for days in windows_days:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dow_sun0
-from ..operators.bands import broadcast_band_join
+from ..operators.bands import band_label, broadcast_band_join
 from .tables import literal_rows
 
 # Where the drift begins and which campaigns it hits.
@@ -45,6 +45,14 @@ def campaign_slots(spark: SparkSession) -> DataFrame:
     return rows.withColumn("campaign_name", F.concat_ws(" ", "channel", "campaign_id"))
 
 
+def _point(x: Column) -> Column:
+    """An integer to look a band up by; -1 lies in no band.
+
+    Being never NULL, it spares the scan a NULL filter that would parse the JSON a second time.
+    """
+    return F.coalesce(x, F.lit(-1))
+
+
 def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the integers that the bands and the campaign slot are looked up by."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -54,30 +62,37 @@ def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "event_id", "ts", "event_type", "value",
             F.to_date("ts").alias("event_date"),
-            (F.col("k") % 12).alias("slot"),
-            (F.col("event_id") * 37 % 100).alias("device_point"),
-            ((F.col("user_id") * 53 + F.col("k")) % 100).alias("country_point"),
-            (F.col("user_id") % 20).alias("visitor_point"),
+            _point(F.col("k") % 12).alias("slot"),
+            _point(F.col("event_id") * 37 % 100).alias("device_point"),
+            _point((F.col("user_id") * 53 + F.col("k")) % 100).alias("country_point"),
+            _point(F.col("user_id") % 20).alias("visitor_point"),
         )
     )
 
 
-def with_visitor_bands(events: DataFrame) -> DataFrame:
-    """Device, country and visitor type by three range lookups against literal bands."""
-    spark = events.sparkSession
-    for name, rows, point in (
-        ("device", DEVICE_BANDS, "device_point"),
-        ("country", COUNTRY_BANDS, "country_point"),
-        ("visitor_type", VISITOR_BANDS, "visitor_point"),
-    ):
-        bands = literal_rows(spark, rows, f"{name} string, low int, high int")
-        events = broadcast_band_join(events, bands, point)
+BANDS = [
+    ("device", DEVICE_BANDS, "device_point"),
+    ("country", COUNTRY_BANDS, "country_point"),
+    ("visitor_type", VISITOR_BANDS, "visitor_point"),
+]
+
+
+def join_visitor_bands(events: DataFrame) -> DataFrame:
+    """Device, country and visitor type by three range joins against literal band tables."""
+    for name, rows, point in BANDS:
+        table = literal_rows(events.sparkSession, rows, f"{name} string, low int, high int")
+        events = broadcast_band_join(events, table, point)
     return events
 
 
+def label_visitor_bands(events: DataFrame) -> DataFrame:
+    """The same three columns without a join, the bands being literals."""
+    return events.withColumns({name: band_label(F.col(point), rows) for name, rows, point in BANDS})
+
+
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per impression, in the raw impression schema."""
-    events = with_visitor_bands(keyed_events(spark, sf_dir)).join(
+    events = label_visitor_bands(keyed_events(spark, sf_dir)).join(
         F.broadcast(campaign_slots(spark)), "slot", "inner"
     )
     collapsed = (
