@@ -90,13 +90,21 @@ def _stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(_segments(spark, sf_dir))
 
 
+def _stored_means(segments: DataFrame) -> DataFrame:
+    """The campaign rates as a written table: its size is then known before the segment-days are joined.
+
+    Below the broadcast limit the segment-days stay where they are; above it both sides are shuffled.
+    """
+    return materialize(predictions.campaign_means(segments))
+
+
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions.group_mean_predictions(_stored_segments(spark, sf_dir), UPPER)
+    return _predictions_and_means(spark, sf_dir)[0]
 
 
 def _predictions_and_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     segments = _stored_segments(spark, sf_dir)
-    means = predictions.campaign_means(segments)
+    means = _stored_means(segments)
     return predictions.group_mean_predictions(segments, UPPER, means=means), means
 
 
@@ -272,7 +280,7 @@ def _on_waste(question) -> Query:
 
 def kpi_row(spark, sf_dir):
     segments = _stored_segments(spark, sf_dir)
-    means = predictions.campaign_means(segments)
+    means = _stored_means(segments)
     predicted = predictions.group_mean_predictions(segments, UPPER, means=means)
     return rounded(questions.kpi_row(layers.campaign_daily_from_segments(segments), predicted, means))
 
@@ -366,7 +374,7 @@ def dq_rows(spark, sf_dir):
 
 def dq_mix_and_waste(spark, sf_dir):
     segments = _stored_segments(spark, sf_dir)
-    means = predictions.campaign_means(segments)
+    means = _stored_means(segments)
     predicted = predictions.group_mean_predictions(segments, UPPER, means=means)
     mix = quality.mix_shift(layers.campaign_daily_from_segments(segments))
     return rounded(mix.unionByName(quality.waste_in_band(predicted, means, 1.0, 1e12)))
