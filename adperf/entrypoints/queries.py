@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import bands, decisions, filters, layers, quality, slices
-from ..plans import features, lifecycle, monitoring, predictions, questions, registry, scoring, training
+from ..operators import bands, decisions, filters, layers, slices
+from ..plans import (
+    features, lifecycle, monitoring, predictions, quality, questions, registry, scoring, training,
+)
 from ..schemas import GRAIN
 from ..session import checkpoint_dir, materialize
 from ..sources import events, order_lines
@@ -247,10 +249,14 @@ def factor_score(spark, sf_dir):
 
 
 def filtered_slice(spark, sf_dir):
+    """A report over some days; the days are also a filter on the scan."""
+    first, last = date(2024, 1, 10), date(2024, 1, 25)
+    raw = events.impressions(spark, sf_dir, first, last)
+    silver = layers.silver_impressions(raw, events.DRIFT_START, events.DRIFT_CAMPAIGNS)
     kept = filters.filtered_slice(
-        _segments(spark, sf_dir),
-        date_from=date(2024, 1, 10),
-        date_to=date(2024, 1, 25),
+        layers.segment_ctr_daily(silver),
+        date_from=first,
+        date_to=last,
         channels=["Search", "Social"],
         countries=["US", "GB", "DE"],
     )
@@ -385,6 +391,10 @@ def dq_segments(spark, sf_dir):
     return rounded(quality.segment_count_check(counted, 1, 12 * 3 * 6 * 2))
 
 
+def dq_days_present(spark, sf_dir):
+    return quality.days_present(_stored_segments(spark, sf_dir))
+
+
 def dq_countries(spark, sf_dir):
     countries = [name for name, _, _ in events.COUNTRY_BANDS]
     return quality.values_present(_silver(spark, sf_dir), "country", countries)
@@ -522,7 +532,7 @@ def queries() -> dict[str, Query]:
         "dq_drift_weekly": _on_segments(quality.drift_weekly),
         "dq_mix_and_waste": dq_mix_and_waste,
         "dq_segments": dq_segments,
-        "dq_days_present": _on_segments(quality.days_present),
+        "dq_days_present": dq_days_present,
         "dq_campaign_channel": lambda spark, sf_dir: quality.campaigns_with_many_channels(_silver(spark, sf_dir)),
         "dq_countries": dq_countries,
         "dq_gap": dq_gap,

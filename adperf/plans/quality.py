@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from ..plans.monitoring import MonitorConfig
-from ..plans.questions import SHIFTED_CHANNELS, wasted_spend_rows
+from ..operators.slices import OVERALL
 from ..sources.calendar import calendar_spine
 from ..sources.tables import literal_rows
-from .slices import OVERALL
+from .monitoring import MonitorConfig
+from .questions import SHIFTED_CHANNELS, wasted_spend_rows
 
 
 def report(df: DataFrame, checks: list[tuple[str, Column, Column]], keys: list[str] = ()) -> DataFrame:

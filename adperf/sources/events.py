@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +53,21 @@ def _point(x: Column) -> Column:
     return F.coalesce(x, F.lit(-1))
 
 
-def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the integers that the bands and the campaign slot are looked up by."""
-    k = F.get_json_object("props", "$.k").cast("int")
+def keyed_events(
+    spark: SparkSession, sf_dir: str, date_from: date | None = None, date_to: date | None = None
+) -> DataFrame:
+    """Events with the integers that the bands and the campaign slot are looked up by.
+
+    Dates, both inclusive, become filters on the stored timestamp, which the scan can skip files by.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if date_from is not None:
+        events = events.where(F.col("ts") >= F.lit(date_from).cast("timestamp_ntz"))
+    if date_to is not None:
+        events = events.where(F.col("ts") < F.lit(date_to + timedelta(days=1)).cast("timestamp_ntz"))
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .withColumn("k", k)
+        events.withColumn("k", k)
         .select(
             "event_id", "ts", "event_type", "value",
             F.to_date("ts").alias("event_date"),
@@ -90,9 +99,11 @@ def label_visitor_bands(events: DataFrame) -> DataFrame:
     return events.withColumns({name: band_label(F.col(point), rows) for name, rows, point in BANDS})
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def impressions(
+    spark: SparkSession, sf_dir: str, date_from: date | None = None, date_to: date | None = None
+) -> DataFrame:
     """One row per impression, in the raw impression schema."""
-    events = label_visitor_bands(keyed_events(spark, sf_dir)).join(
+    events = label_visitor_bands(keyed_events(spark, sf_dir, date_from, date_to)).join(
         F.broadcast(campaign_slots(spark)), "slot", "inner"
     )
     collapsed = (

@@ -7,8 +7,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from adperf.operators import filters, layers, quality
-from adperf.plans import predictions, questions
+from adperf.operators import filters, layers
+from adperf.plans import predictions, quality, questions
 from adperf.plans.monitoring import MonitorConfig
 from adperf.schemas import RAW_IMPRESSIONS
 

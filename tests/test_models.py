@@ -11,9 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from adperf.entrypoints.queries import QUICK_STALE, UPPER
 from adperf.operators.decisions import RetrainPolicy
 from adperf.operators.layers import segment_ctr_daily, silver_impressions
-from adperf.plans import features, lifecycle, registry, training
+from adperf.plans import features, lifecycle, quality, registry, training
 from adperf.plans.predictions import COLUMNS
-from adperf.operators import quality
 from adperf.sources import events
 
 TINY = {
