@@ -128,7 +128,8 @@ def _decisions(metrics: DataFrame, evaluations: list[datetime]) -> list[DataFram
     for now in evaluations:
         known = metrics.where(F.col("metric_date") < F.lit(now.date()))
         log = reduce(DataFrame.unionByName, decided) if decided else None
-        decided.append(materialize(decisions.retrain_decisions(known, POLICY, now, log)))
+        decision = decisions.retrain_decisions(known, POLICY, now, log)
+        decided.append(decision if now == evaluations[-1] else materialize(decision))
     return decided
 
 
@@ -331,7 +332,7 @@ def _daily(spark, sf_dir):
 
 
 def slice_daily(spark, sf_dir):
-    return rounded(_daily(spark, sf_dir))
+    return rounded(_daily(spark, sf_dir), 9)
 
 
 def slice_baseline(spark, sf_dir):

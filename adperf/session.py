@@ -18,13 +18,23 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Partition sizes for a cluster: start wide, and let adaptive execution merge
+# small partitions up to the advisory size instead of keeping every core busy.
+CLUSTER = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
+
 
 def build_session(app: str = "adperf", master: str | None = None, conf: dict | None = None) -> SparkSession:
-    """Session with the library's defaults; ``conf`` wins over them."""
+    """Session with the library's defaults, and cluster sizes unless local; ``conf`` wins over both."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **(conf or {})}.items():
+    sizes = {} if (master or "").startswith("local") else CLUSTER
+    for key, value in {**DEFAULTS, **sizes, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
