@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import bands, decisions, filters, layers, slices
+from ..functions.weighted import weighted_rmse
+from ..operators import bands, decisions, filters, layers, lookups, slices
 from ..plans import (
     features, lifecycle, monitoring, predictions, quality, questions, registry, scoring, training,
 )
@@ -93,10 +94,7 @@ def _stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_means(segments: DataFrame) -> DataFrame:
-    """The campaign rates as a written table: its size is then known before the segment-days are joined.
-
-    Below the broadcast limit the segment-days stay where they are; above it both sides are shuffled.
-    """
+    """The campaign rates as a written table, which can be counted before the segment-days are joined."""
     return materialize(predictions.campaign_means(segments))
 
 
@@ -298,11 +296,12 @@ def kpi_row(spark, sf_dir):
 def prior_as_stale(spark, sf_dir):
     """The campaign means of the whole period score against the champion of before."""
     segments = _stored_segments(spark, sf_dir)
-    prior = predictions.group_mean_predictions(segments, UPPER).where(F.col("event_date") < F.lit(date(2024, 1, 28)))
-    overall = segments.groupBy("campaign_id").agg(
+    live = predictions.group_mean_predictions(segments, UPPER, means=_stored_means(segments))
+    prior = live.where(F.col("event_date") < F.lit(date(2024, 1, 28)))
+    overall = materialize(segments.groupBy("campaign_id").agg(
         scalars.ratio(F.sum("clicks"), F.sum("impressions")).alias("predicted_ctr_champion")
-    )
-    scored = segments.join(overall, "campaign_id", "inner")
+    ))
+    scored = lookups.lookup_join(segments, overall, "campaign_id", GRAIN)
     return rounded(predictions.with_gaps(predictions.prior_as_stale(scored, prior), "3"))
 
 
@@ -360,10 +359,9 @@ def decision_history(spark, sf_dir):
 def promotion_gate(spark, sf_dir):
     """Gate per campaign: the champion's drift-window error against the stale model's on the cohort."""
     after = F.col("is_drift_window")
-    rmse = questions.weighted_rmse
     candidates = _predictions(spark, sf_dir).groupBy("campaign_id").agg(
-        rmse("actual_ctr", "predicted_ctr_champion", "impressions", after).alias("candidate_rmse"),
-        rmse(
+        weighted_rmse("actual_ctr", "predicted_ctr_champion", "impressions", after).alias("candidate_rmse"),
+        weighted_rmse(
             "actual_ctr", "predicted_ctr_stale", "impressions", after & F.col("is_drift_segment")
         ).alias("incumbent_rmse"),
     )

@@ -7,19 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_match
 from ..session import materialize
+from .lookups import SMALL_TABLE_ROWS, has_at_most
 
-# Up to this many rows a band or weight table counts as small.
-SMALL_TABLE_ROWS = 100_000
 # Ratio between the bin widths of neighbouring levels.
 LEVEL_BASE = 8.0
 # Level of a band without a finite length.
 OPEN_LEVEL = 1_000
 
 
-def _has_at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def _in_band(x: str):
     return (F.col(x) >= F.col("__low")) & (F.col(x) < F.col("__high"))
 
@@ -103,7 +98,7 @@ def band_join(
 
     ``on`` adds equality columns, for instance the regime a band set is valid in.
     """
-    join = broadcast_band_join if _has_at_most(bands, small_rows) else binned_band_join
+    join = broadcast_band_join if has_at_most(bands, small_rows) else binned_band_join
     return join(df, bands, x, low, high, on)
 
 
@@ -117,7 +112,7 @@ def cumulative_bands(
     then shifted by the total of the partitions before it.
     """
     weights = materialize(weights.select(*by, key, weight))
-    if _has_at_most(weights, small_rows):
+    if has_at_most(weights, small_rows):
         whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
         running = whole.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         summed = weights.select(

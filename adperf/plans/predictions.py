@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, ratio
+from ..operators.lookups import lookup_join
 from ..schemas import GRAIN
 
 COLUMNS = [
@@ -45,10 +46,13 @@ def campaign_means(rollup: DataFrame) -> DataFrame:
 def group_mean_predictions(
     segments: DataFrame, upper: float, version: str = "2", means: DataFrame | None = None
 ) -> DataFrame:
-    """Deterministic predictor: stale is the campaign's pre-drift rate, champion the rate of its regime."""
+    """Deterministic predictor: stale is the campaign's pre-drift rate, champion the rate of its regime.
+
+    ``means`` are the campaign rates, best as a stored table.
+    """
     means = campaign_means(segments) if means is None else means
     regime_ctr = F.when(F.col("is_drift_window"), F.col("drift_ctr")).otherwise(F.col("baseline_ctr"))
-    scored = segments.join(means, "campaign_id", "inner").withColumns(
+    scored = lookup_join(segments, means, "campaign_id", GRAIN).withColumns(
         {
             "predicted_ctr_stale": clamp("baseline_ctr", 0.0, upper),
             "predicted_ctr_champion": clamp(regime_ctr, 0.0, upper),

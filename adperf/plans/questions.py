@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, week_start
 from ..functions.weighted import improvement_pct, weighted_mae, weighted_r2, weighted_rmse
-from ..schemas import SEGMENT
-from .predictions import campaign_means
+from ..operators.lookups import lookup_join
+from ..schemas import GRAIN, SEGMENT
 
 # The channels whose share the mix shift is read from.
 SHIFTED_CHANNELS = ["Social", "Display"]
@@ -101,9 +101,9 @@ def weekly_ctr(segments: DataFrame, channels: list[str] = SHIFTED_CHANNELS) -> D
 def wasted_spend_rows(predictions: DataFrame, means: DataFrame) -> DataFrame:
     """Cohort rows with the part of their spend that bought clicks at the pre-drift rate."""
     shortfall = F.lit(1.0) - ratio("actual_ctr", "baseline_ctr")
-    return predictions.where(_cohort()).join(
-        means.select("campaign_id", "baseline_ctr"), "campaign_id", "inner"
-    ).withColumn("wasted_spend_usd", F.col("spend_usd") * F.greatest(F.lit(0.0), shortfall))
+    baselines = means.select("campaign_id", "baseline_ctr")
+    cohort = lookup_join(predictions.where(_cohort()), baselines, "campaign_id", GRAIN)
+    return cohort.withColumn("wasted_spend_usd", F.col("spend_usd") * F.greatest(F.lit(0.0), shortfall))
 
 
 def wasted_spend_total(predictions: DataFrame, means: DataFrame) -> DataFrame:
@@ -173,9 +173,9 @@ def worst_segments(predictions: DataFrame, means: DataFrame, top: int = 20) -> D
         * F.greatest(F.lit(0.0), F.lit(1.0) - ratio("actual_ctr", "baseline_ctr")),
     )
     rates = ["actual_ctr", "predicted_ctr_stale", "predicted_ctr_champion", "ctr_gap_stale"]
+    baselines = means.select("campaign_id", "baseline_ctr")
     return (
-        predictions.where(IN_WINDOW)
-        .join(means.select("campaign_id", "baseline_ctr"), "campaign_id", "inner")
+        lookup_join(predictions.where(IN_WINDOW), baselines, "campaign_id", GRAIN)
         .withColumn("wasted", waste)
         .groupBy(*keys)
         .agg(

@@ -95,7 +95,10 @@ def test_rolling_is_the_same_across_a_clock_change(spark, predictions):
 
 
 def test_unknown_baseline_is_healthy(spark):
-    exact = [(DAY, "Search", "Mobile", 10, 0.1, 0.1, False, "1"), (DAY + timedelta(1), "Search", "Mobile", 10, 0.1, 0.9, True, "1")]
+    exact = [
+        (DAY, "Search", "Mobile", 10, 0.1, 0.1, False, "1"),
+        (DAY + timedelta(1), "Search", "Mobile", 10, 0.1, 0.9, True, "1"),
+    ]
     new = [(DAY, "Search", "Mobile", 10, 0.1, 0.9, True, "2")]
     df = spark.createDataFrame(exact + new, PREDICTIONS)
     for row in monitoring_metrics(df, CONFIG).collect():

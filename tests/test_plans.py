@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from adperf.entrypoints import queries as named
-from adperf.operators import bands, layers
+from adperf.operators import bands, layers, lookups
 from adperf.plans import predictions, questions
+from adperf.schemas import GRAIN
 from adperf.session import materialize
 from adperf.sources import events, order_lines
 
@@ -71,17 +72,18 @@ def test_no_query_plans_a_cartesian_product(spark, sf_dir):
         assert "NestedLoop" not in plan, name
 
 
-def test_stored_rates_are_broadcast_by_their_size(spark, sf_dir):
+def test_rates_are_broadcast_by_their_counted_size(spark, sf_dir, monkeypatch):
     segments = materialize(layers.segment_ctr_daily(layers.silver_impressions(
         events.impressions(spark, sf_dir), events.DRIFT_START, events.DRIFT_CAMPAIGNS)))
     means = materialize(predictions.campaign_means(segments))
     small = predictions.group_mean_predictions(segments, 1.0, means=means)
     plan = initial_plan(small)
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(lookups, "SMALL_TABLE_ROWS", 10)
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="10"):
         large = predictions.group_mean_predictions(segments, 1.0, means=means)
-        plan = initial_plan(large)
-        assert "SortMergeJoin" in plan
+        assert re.search(r"hashpartitioning\(campaign_id#\d+, __salt", initial_plan(large))
+        assert "SortMergeJoin" in initial_plan(large)
         assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
 
 
@@ -116,24 +118,41 @@ def hot_segments(spark):
     return materialize(df)
 
 
-def test_hot_campaign_is_split_and_nothing_is_lost(spark, hot_segments):
+def test_hot_campaign_is_salted_and_nothing_is_lost(spark, hot_segments, monkeypatch):
     means = materialize(predictions.campaign_means(hot_segments))
-    expected = questions.wasted_spend_rows(
-        predictions.group_mean_predictions(hot_segments, 1.0, means=means), means
-    ).agg(F.count(F.lit(1)), F.round(F.sum("wasted_spend_usd"), 6)).first()
-    with settings(spark, **SPLIT):
+
+    def total():
         rows = predictions.group_mean_predictions(hot_segments, 1.0, means=means)
-        plan = final_plan(rows)
-        assert "SortMergeJoin(skew=true)" in plan
         waste = questions.wasted_spend_rows(rows, means)
-        assert waste.agg(F.count(F.lit(1)), F.round(F.sum("wasted_spend_usd"), 6)).first() == expected
+        worst = questions.worst_segments(rows, means, 10)
+        sums = waste.agg(F.count(F.lit(1)), F.round(F.sum("wasted_spend_usd"), 6)).first()
+        return sums, [(r["campaign_id"], round(r["ctr_gap_stale"], 9)) for r in worst.collect()]
+
+    expected = total()
+    spread = hot_segments.where("campaign_id = 'hot'").groupBy(lookups.salt(GRAIN).alias("salt")).count().collect()
+    assert len(spread) == lookups.SALTS
+    assert max(row["count"] for row in spread) < 2 * 10_000 / lookups.SALTS
+    monkeypatch.setattr(lookups, "SMALL_TABLE_ROWS", 10)
+    with settings(spark, **SPLIT):
+        assert total() == expected
+
+
+def test_hot_key_of_a_plain_join_is_split(spark, hot_segments):
+    means = materialize(predictions.campaign_means(hot_segments))
+    with settings(spark, **SPLIT):
+        joined = hot_segments.join(means, "campaign_id", "inner")
+        assert "SortMergeJoin(skew=true)" in final_plan(joined)
+        assert joined.count() == 30_000
 
 
 def test_hot_bin_is_split_and_nothing_is_lost(spark):
     points = spark.range(0, 30_000, 1, 8).select(
         F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id") / 30_000.0).alias("x"), "id"
     )
-    table = materialize(spark.range(0, 200).select("id", (F.col("id") / 200.0).alias("low"), ((F.col("id") + 1) / 200.0).alias("high")).withColumnRenamed("id", "band"))
+    band = F.col("id")
+    table = materialize(spark.range(0, 200).select(
+        band.alias("band"), (band / 200.0).alias("low"), ((band + 1) / 200.0).alias("high")
+    ))
     expected = bands.broadcast_band_join(points, table, "x").groupBy("band").count()
     with settings(spark, **SPLIT):
         joined = bands.binned_band_join(points, table, "x")
