@@ -331,7 +331,7 @@ def _daily(spark, sf_dir):
 
 
 def slice_daily(spark, sf_dir):
-    return rounded(_daily(spark, sf_dir), 9)
+    return rounded(_daily(spark, sf_dir), 8)
 
 
 def slice_baseline(spark, sf_dir):

@@ -508,7 +508,7 @@ joined AS (
             METRICS,
             "SELECT metric_date, dimension_name, dimension_value, model_version, "
             + _r(["sum_squared_error", "sum_absolute_error", "sum_signed_error", "sum_actual", "sum_predicted",
-                  "baseline_squared_error"], 9)
+                  "baseline_squared_error"], 8)
             + ", CAST(impressions AS BIGINT) AS impressions, observation_count, "
             "CAST(baseline_impressions AS BIGINT) AS baseline_impressions FROM daily",
         ),
