@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, packing, token_counts
+from . import common, lm_scoring, packing, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -14,13 +14,21 @@ def op1_packing(spark, sf_dir):
     return packing.pack(common.read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scores(common.read(spark, sf_dir, "documents"), common.remainder("doc_id", 7) == 2)
+
+
 def op8_token_counts(spark, sf_dir):
     counted = token_counts.token_counts(common.read(spark, sf_dir, "documents"), WORD_BPE)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
 def queries():
-    return {"op1_packing": op1_packing, "op8_token_counts": op8_token_counts}
+    return {
+        "op1_packing": op1_packing,
+        "op2_lm_scoring": op2_lm_scoring,
+        "op8_token_counts": op8_token_counts,
+    }
 
 
 def oracle_sql():
