@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, lm_scoring, packing, token_counts
+from . import common, fingerprints, language_id, lm_scoring, packing, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,6 +18,17 @@ def op2_lm_scoring(spark, sf_dir):
     return lm_scoring.lm_scores(common.read(spark, sf_dir, "documents"), common.remainder("doc_id", 7) == 2)
 
 
+def op3_language_id(spark, sf_dir):
+    docs = common.read(spark, sf_dir, "documents")
+    held_out = common.remainder("doc_id", 4) == 2
+    found = language_id.language_of(docs, language_id.fit(docs, ~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
+
+
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(common.read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     counted = token_counts.token_counts(common.read(spark, sf_dir, "documents"), WORD_BPE)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -27,6 +38,8 @@ def queries():
     return {
         "op1_packing": op1_packing,
         "op2_lm_scoring": op2_lm_scoring,
+        "op3_language_id": op3_language_id,
+        "op5_fingerprints": op5_fingerprints,
         "op8_token_counts": op8_token_counts,
     }
 
