@@ -47,3 +47,21 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES, text: str
             held.append(batch.slice(first))
     if held and sum(b.num_rows for b in held):
         yield pa.concat_batches(held)
+
+
+def row_key() -> Column:
+    """Digest of id and text; rows that share it are copies of one another and get the same result."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "text")
+
+
+#: Most bytes of strings that are sent to every executor; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
+
+
+def broadcast_if_small(table: DataFrame, width: Column, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast if the (stored) table was found to be within both bounds.
+
+    ``width`` is the number of bytes of a row's strings.
+    """
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(table) if n <= rows and size <= BROADCAST_BYTES else table

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, language_id, lm_scoring, packing, token_counts
+from . import (
+    common, decontamination, fingerprints, language_id, lm_scoring, packing, token_counts, url_filters,
+)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,20 +31,34 @@ def op5_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(common.read(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark, sf_dir):
+    """Each page as fetched on some day, against a dated list of the hosts that the pages have."""
+    pages = common.read(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (F.col("page_id") * 7919 % 365).alias("fetched_day"))
+    return url_filters.judge(captures, url_filters.entries_of_hosts(pages), fetched="fetched_day")
+
+
 def op8_token_counts(spark, sf_dir):
     counted = token_counts.token_counts(common.read(spark, sf_dir, "documents"), WORD_BPE)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op10_decontamination(spark, sf_dir):
+    docs, benchmark = (common.read(spark, sf_dir, table) for table in ("documents", "benchmark"))
+    return decontamination.contamination(docs, benchmark)
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_language_id": op3_language_id,
         "op5_fingerprints": op5_fingerprints,
+        "op7_url_filters": op7_url_filters,
         "op8_token_counts": op8_token_counts,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op7_url_filters": url_filters.SQL}
