@@ -27,6 +27,11 @@ def texts(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also where the body is used for every element of an array."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -98,11 +98,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     wanted = keyed.join(common.broadcast_if_small(met.select("row_key"), F.lit(8)), "row_key", "left_semi")
     runs = (
         wanted.dropDuplicates(["row_key"]).join(met, "row_key")
-        .withColumn("words", exact_words(F.col("text")))
-        .withColumn("met", F.filter("met", lambda m: m["low"] + m["size"] <= F.size("words")))
-        .select("row_key", F.explode(F.transform("met", lambda m: F.struct(
-            m["low"].alias("low"), (m["low"] + m["size"]).alias("high"),
-            joined(F.slice(F.col("words"), m["low"] + 1, m["size"])).alias("run"),
+        .select("row_key", F.explode(common.let(exact_words(F.col("text")), lambda words: F.transform(
+            F.filter("met", lambda m: m["low"] + m["size"] <= F.size(words)),
+            lambda m: F.struct(
+                m["low"].alias("low"), (m["low"] + m["size"]).alias("high"),
+                joined(F.slice(words, m["low"] + 1, m["size"])).alias("run"),
+            ),
         ))).alias("at"))
     )
     verified = runs.select("row_key", "at.*").join(
@@ -128,8 +129,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    words = _split(F.col("text"))
-    n_words = F.size(words) - F.when(F.element_at(words, -1) == "", 1).otherwise(0)
+    n_words = common.let(
+        _split(F.col("text")), lambda words: F.size(words) - F.when(F.element_at(words, -1) == "", 1).otherwise(0)
+    )
     every = common.texts(docs).select("doc_id", common.row_key().alias("row_key"), n_words.cast("long").alias("n_words"))
     none = F.lit(0).cast("long")
     return every.join(hits(docs, benchmark, size), "row_key", "left").select(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    common, decontamination, fingerprints, language_id, lm_scoring, packing, token_counts, url_filters,
+    common, decontamination, fingerprints, language_id, lm_scoring, packing, pii, token_counts, url_filters,
 )
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op5_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(common.read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark, sf_dir):
+    return pii.report(common.read(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark, sf_dir):
     """Each page as fetched on some day, against a dated list of the hosts that the pages have."""
     pages = common.read(spark, sf_dir, "pages")
@@ -54,6 +58,7 @@ def queries():
         "op2_lm_scoring": op2_lm_scoring,
         "op3_language_id": op3_language_id,
         "op5_fingerprints": op5_fingerprints,
+        "op6_pii": op6_pii,
         "op7_url_filters": op7_url_filters,
         "op8_token_counts": op8_token_counts,
         "op10_decontamination": op10_decontamination,
