@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    common, decontamination, fingerprints, language_id, lm_scoring, packing, pii, token_counts, url_filters,
+    common, decontamination, fingerprints, html_text, language_id, lm_scoring, packing, pii, token_counts, url_filters,
 )
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,10 @@ def op8_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op9_html_text(spark, sf_dir):
+    return html_text.main_texts(common.read(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark, sf_dir):
     docs, benchmark = (common.read(spark, sf_dir, table) for table in ("documents", "benchmark"))
     return decontamination.contamination(docs, benchmark)
@@ -61,6 +65,7 @@ def queries():
         "op6_pii": op6_pii,
         "op7_url_filters": op7_url_filters,
         "op8_token_counts": op8_token_counts,
+        "op9_html_text": op9_html_text,
         "op10_decontamination": op10_decontamination,
     }
 
