@@ -54,9 +54,13 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES, text: str
         yield pa.concat_batches(held)
 
 
-def row_key() -> Column:
+def row_key_of(text: Column) -> Column:
     """Digest of id and text; rows that share it are copies of one another and get the same result."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "text")
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), text)
+
+
+def row_key() -> Column:
+    return row_key_of(F.coalesce(F.col("text"), F.lit("")))
 
 
 #: Most bytes of strings that are sent to every executor; larger tables are joined by a shuffle.

@@ -147,8 +147,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents without a hit, with their own columns."""
     found = materialize(hits(docs, benchmark, size).select(F.col("row_key").alias("__hit")))
-    keyed = docs.withColumn("__row", F.xxhash64(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))
-    ))
+    keyed = docs.withColumn("__row", common.row_key())
     small = common.broadcast_if_small(found, F.lit(8))
     return keyed.join(small, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")

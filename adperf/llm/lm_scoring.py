@@ -61,7 +61,8 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def _mix(values: np.ndarray) -> np.ndarray:
+def mix(values: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values over all bits."""
     values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return values ^ (values >> np.uint64(29))
 
@@ -93,7 +94,7 @@ class Block:
         at = np.flatnonzero(follows)
         self.state, self.word = ids[at - 1], ids[at]
         pairs, order = np.unique(self.state.astype(np.int64) << 32 | self.word, return_inverse=True)
-        joint = _mix(_mix(self.words[pairs >> 32]) + self.words[pairs & 0xFFFFFFFF] * np.uint64(0xD6E8FEB86659FD93))
+        joint = mix(mix(self.words[pairs >> 32]) + self.words[pairs & 0xFFFFFFFF] * np.uint64(0xD6E8FEB86659FD93))
         self.pairs, number = np.unique(joint, return_inverse=True)
         self.pair = number[order]
         self.start, self.end = (

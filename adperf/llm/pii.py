@@ -275,8 +275,7 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumns({f"__{k}": _found(text, k, 0) for k in KINDS})
     any_span = sum(F.size(f"__{k}") for k in KINDS) > 0
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), text)
-    private = marked.where(any_span).withColumn("__row", key)
+    private = marked.where(any_span).withColumn("__row", common.row_key())
     changed = private.join(terms, F.col("__row") == F.col("__key"), "left").withColumn("text", _redacted(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

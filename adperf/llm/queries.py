@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    common, decontamination, fingerprints, html_text, language_id, lm_scoring, packing, pii, token_counts, url_filters,
+    common, decontamination, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, pii, token_counts, url_filters,
 )
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op3_language_id(spark, sf_dir):
     return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.components(common.read(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op5_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(common.read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries():
         "op1_packing": op1_packing,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_language_id": op3_language_id,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_fingerprints": op5_fingerprints,
         "op6_pii": op6_pii,
         "op7_url_filters": op7_url_filters,
