@@ -19,7 +19,8 @@ Links are needed for groups, not for their own sake. First every class is compar
 with the nearest and the smallest of its surviving partners. Then cells whose
 classes are not all in one group yet give all surviving pairs between groups, so
 every link between different groups is found and none is dropped; pairs within one
-group are never enumerated.
+group are never enumerated. Two classes meet in all cells of the prefix shingles they
+share, so they are compared only where the shingles before it in their prefixes differ.
 
 Digests of shingles and sets have 64 bits.
 
@@ -44,7 +45,7 @@ from ..session import materialize
 from . import common
 from .lm_scoring import mix
 
-GROUPS, LEAF = 32, 32
+GROUPS, LEAF = 128, 32
 BITS = 24
 OFTEN = 20
 
@@ -84,8 +85,9 @@ def prefix(own: np.ndarray, percent: int, often: np.ndarray | None) -> np.ndarra
 
 
 def point(own: np.ndarray) -> bytes:
-    """Counts per group, by low bits (the order goes by high ones)."""
-    return np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes()
+    """Counts per group, by low bits (the order goes by high ones), in one byte each if they fit."""
+    counts = np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
 
 
 def bit_map(rows: DataFrame, column: str) -> np.ndarray:
@@ -130,9 +132,14 @@ def _prefixes(words: int, percent: int, often):
             sets = {class_of(s): s for s in shingle_sets(block.column("text").to_pylist(), words) if len(s)}
             keys = [prefix(s, percent, often.value) for s in sets.values()]
             if keys:
-                owner = np.repeat(np.array(list(sets), np.int64), [len(k) for k in keys])
+                lengths = [len(k) for k in keys]
+                owner, every = np.repeat(np.array(list(sets), np.int64), lengths), np.concatenate(keys).view(np.int64)
+                # The shingle before; the first one has its own class there, which no other has.
+                before = np.concatenate([every[:1], every[:-1]])
+                first = np.cumsum([0, *lengths[:-1]])
+                before[first] = owner[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], ["key", "class"]
+                    [pa.array(every), pa.array(owner), pa.array(before)], ["key", "class", "before"]
                 )
 
     return read
@@ -179,11 +186,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _by_key(batches):
         key, owner = batch.column("key").to_numpy(), batch.column("class").to_numpy()
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-        key, owner = key[new], owner[new]
+        key, owner, before = key[new], owner[new], batch.column("before").to_numpy()[new]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.repeat(np.diff([*start, len(key)]), np.diff([*start, len(key)])) > 1
         if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(owner[many])], ["key", "class"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[many]), pa.array(owner[many]), pa.array(before[many])], ["key", "class", "before"]
+            )
 
 
 class CountTree:
@@ -199,48 +208,69 @@ class CountTree:
             self.high.append(np.maximum.reduceat(self.high[-1], at))
 
     def reach(self, level: int, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether something below the nodes may be as similar to the points ``q`` as asked for."""
-        size, shared = self.low[0][q], np.minimum(self.upper[level][nodes], self.upper[0][q]).sum(axis=1)
-        p = self.percent
-        fits = (100 * self.high[level][nodes] >= p * size) & (p * self.low[level][nodes] <= 100 * size)
+        """Which of the nodes may hold something as similar to the points ``q`` as asked for."""
+        p, size = self.percent, self.low[0][q]
+        at = np.flatnonzero((100 * self.high[level][nodes] >= p * size) & (p * self.low[level][nodes] <= 100 * size))
+        nodes, q, size = nodes[at], q[at], size[at]
         least = np.maximum(self.low[level][nodes], (p * size + 99) // 100)
-        return fits & ((100 + p) * shared >= p * (size + least))
+        return at[(100 + p) * shared(self.upper[level][nodes], self.upper[0][q]) >= p * (size + least)]
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Surviving pairs (earlier, later) in order of size, some queries at a time."""
+    def pairs(self, before: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Surviving pairs (earlier, later) in order of size that differ in ``before``, and in ``group`` if given."""
         count = len(self.low[0])
-        for first in range(0, count, 256):
-            q = np.arange(first, min(first + 256, count))
+        for first in range(0, count, 64):
+            q = np.arange(first, min(first + 64, count))
             top = len(self.upper) - 1
             nodes = np.tile(np.arange(len(self.upper[top])), len(q))
             q = np.repeat(q, len(self.upper[top]))
             for level in range(top, -1, -1):
+                if not level:
+                    asked = (nodes < q) & (before[nodes] != before[q])
+                    if group is not None:
+                        asked &= group[nodes] != group[q]
+                    nodes, q = nodes[asked], q[asked]
                 kept = self.reach(level, nodes, q)
                 nodes, q = nodes[kept], q[kept]
                 if level:
-                    below = len(self.upper[level - 1])
-                    nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-                    q = np.repeat(q, LEAF)[nodes < below]
-                    nodes = nodes[nodes < below]
-            yield nodes[nodes < q], q[nodes < q]
+                    below = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
+                    q = np.repeat(q, LEAF)[below < len(self.upper[level - 1])]
+                    nodes = below[below < len(self.upper[level - 1])]
+            yield nodes, q
 
 
-def surviving(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The most that two sets can share, by the counts of their groups."""
+    return np.minimum(one, two).sum(axis=1, dtype=np.int64)
+
+
+def points_of(batch: pa.RecordBatch) -> np.ndarray:
+    found = batch.column("point").to_pylist()
+    if all(len(p) == GROUPS for p in found):
+        return np.frombuffer(b"".join(found), "u1").reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype(np.uint32) for p in found])
+
+
+def surviving(
+    batch: pa.RecordBatch, points: np.ndarray, percent: int, group: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of each cell that the points leave possible. Cells of one small size are searched side by side."""
-    key, size = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-    points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+    key, size, before = (batch.column(c).to_numpy() for c in ("key", "n", "before"))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     members = np.diff([*start, len(key)])
     for count in np.unique(members[members <= LEAF]):
         cells = start[members == count]
         for i, j in combinations(range(count), 2):
             a, b = cells + i, cells + j
-            both = size[a] + size[b]
-            kept = (100 + percent) * np.minimum(points[a], points[b]).sum(axis=1) >= percent * both
+            asked = before[a] != before[b] if group is None else (before[a] != before[b]) & (group[a] != group[b])
+            a, b = a[asked], b[asked]
+            near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            a, b = a[near], b[near]
+            kept = (100 + percent) * shared(points[a], points[b]) >= percent * (size[a] + size[b])
             yield a[kept], b[kept]
     for first, count in zip(start[members > LEAF], members[members > LEAF]):
         order = first + np.argsort(size[first : first + count], kind="stable")
-        for a, b in CountTree(points[order], size[order], percent).pairs():
+        tree = CountTree(points[order], size[order], percent)
+        for a, b in tree.pairs(before[order], None if group is None else group[order]):
             yield order[a], order[b]
 
 
@@ -250,12 +280,12 @@ def _partners(percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches):
             owner, size = batch.column("class").to_numpy(), batch.column("n").to_numpy()
-            points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
+            points = points_of(batch)
             near: dict[int, tuple[float, int]] = {}
             least: dict[int, int] = {}
-            for a, b in surviving(batch, percent):
-                shared = np.minimum(points[a], points[b]).sum(axis=1)
-                bound = shared / (size[a] + size[b] - shared)
+            for a, b in surviving(batch, points, percent):
+                most = shared(points[a], points[b])
+                bound = most / (size[a] + size[b] - most)
                 one, two = np.concatenate([owner[a], owner[b]]), np.concatenate([owner[b], owner[a]])
                 bound = np.concatenate([bound, bound])
                 order = np.lexsort((two, -bound, one))
@@ -280,13 +310,11 @@ def _pairs_between(percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches):
             owner, group = batch.column("class").to_numpy(), batch.column("label").to_numpy()
-            for a, b in surviving(batch, percent):
-                apart = group[a] != group[b]
-                one, two = owner[a[apart]], owner[b[apart]]
-                if len(one):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"]
-                    )
+            found = [(owner[a], owner[b]) for a, b in surviving(batch, points_of(batch), percent, group) if len(a)]
+            if found:
+                one, two = (np.concatenate(side) for side in zip(*found))
+                pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return search
 
@@ -297,8 +325,8 @@ def _reached(percent: int):
             kept = []
             for left, right in zip(batch.column("left"), batch.column("right")):
                 one, two = (np.frombuffer(s.as_buffer(), "<u8") for s in (left, right))
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                kept.append(100 * shared >= percent * (len(one) + len(two) - shared))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                kept.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return verify
@@ -336,8 +364,9 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     counted = table.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     often = spark.sparkContext.broadcast(bit_map(counted.where(F.col("times") > OFTEN), "key"))
     cells = materialize(
-        read.select("text").mapInArrow(_prefixes(words, percent, often), "key long, class long")
-        .repartition(parts, "key").sortWithinPartitions("key", "class").mapInArrow(_shared, "key long, class long")
+        read.select("text").mapInArrow(_prefixes(words, percent, often), "key long, class long, before long")
+        .repartition(parts, "key").sortWithinPartitions("key", "class")
+        .mapInArrow(_shared, "key long, class long, before long")
     )
     classes = materialize(own.where(F.col("n") > 0).groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"),
@@ -362,15 +391,16 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         wanted = spark.sparkContext.broadcast(bit_map(chosen, "row_key"))
         sets = materialize(
             read.select("row_key", "text").mapInArrow(_wanted_sets(words, wanted), "row_key long, shingles binary")
-            .join(chosen, "row_key").select("class", "shingles").dropDuplicates(["class"])
+            .join(common.broadcast_if_small(chosen, F.lit(16)), "row_key").select("class", "shingles").dropDuplicates(["class"])
         )
         one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
         two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
         return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(_reached(percent), "a long, b long"))
 
     links = verified(first)
-    labels = groups(links, rounds=2)
-    labelled = cells.join(labels, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    labels = groups(links)
+    labels = common.broadcast_if_small(labels, F.lit(16))
+    labelled = cells.join(labels, "class", "left").select("key", "class", "before", F.coalesce("label", "class").alias("label"))
     open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
     between = in_cells(labelled.join(open_keys, "key"), _pairs_between(percent), "a long, b long")
     second = materialize(between.distinct().join(first, ["a", "b"], "left_anti"))

@@ -92,7 +92,7 @@ def test_tree_loses_no_pair(count):
     order = np.argsort(points.sum(axis=1), kind="stable")
     points = points[order]
     size = points.sum(axis=1)
-    found = {(a, b) for x, y in jaccard_join.CountTree(points, size, 85).pairs() for a, b in zip(x.tolist(), y.tolist())}
+    found = {(a, b) for x, y in jaccard_join.CountTree(points, size, 85).pairs(np.arange(count)) for a, b in zip(x.tolist(), y.tolist())}
     for i in range(0, count, 1 + count // 50):
         shared = np.minimum(points[i], points[i + 1 :]).sum(axis=1)
         want = np.flatnonzero(185 * shared >= 85 * (size[i] + size[i + 1 :])) + i + 1
