@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,44 @@ def row_key() -> Column:
     return row_key_of(F.coalesce(F.col("text"), F.lit("")))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Sorted digests as differences, or counts; equal bytes side by side, so that zeros vanish."""
+    wide = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    return zstandard.compress(np.ascontiguousarray(wide.T).tobytes(), 1)
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def mix(values: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values over all bits."""
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return values ^ (values >> np.uint64(29))
+
+
+def ends(parts: int) -> np.ndarray:
+    """First digest of each range."""
+    return np.array([(k << 64) // parts for k in range(parts)], np.uint64)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Rows that come sorted by ``keys``, one list for each value."""
+    held, last = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if held and key != last:
+                yield held
+                held = []
+            held.append(row)
+            last = key
+    if held:
+        yield held
+
+
 #: Most bytes of strings that are sent to every executor; larger tables are joined by a shuffle.
 BROADCAST_BYTES = 4 << 20
 

@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import common
-from .lm_scoring import mix
 
 GROUPS, LEAF = 128, 32
 BITS = 24
@@ -66,7 +65,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
             continue
         joint = np.full(len(own) - size + 1, size, np.uint64)
         for k in range(size):
-            joint = mix(joint * np.uint64(0xD6E8FEB86659FD93) + own[k : len(own) - size + 1 + k])
+            joint = common.mix(joint * np.uint64(0xD6E8FEB86659FD93) + own[k : len(own) - size + 1 + k])
         sets.append(np.unique(joint))
     return sets
 

@@ -42,59 +42,40 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import common
 
-BLOCK_BYTES = 8 << 20
 START, END = b" s", b" e"  # no word has a space
-SENT = "block long, part int, kind int, payload binary, counts binary"
+BLOCK_BYTES = 8 << 20
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 TEXTS, WORDS, PAIRS = 0, 1, 2
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted digests as differences, or counts; equal bytes side by side, so that zeros vanish."""
-    wide = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
-    return zstandard.compress(np.ascontiguousarray(wide.T).tobytes(), 1)
-
-
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def mix(values: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values over all bits."""
-    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return values ^ (values >> np.uint64(29))
-
-
-def _ends(parts: int) -> np.ndarray:
-    """First digest of each range."""
-    return np.array([(k << 64) // parts for k in range(parts)], np.uint64)
-
-
 class Block:
     """Words and pairs of some texts, each numbered in the order of its digest."""
 
-    def __init__(self, texts: list[str]):
-        words, lengths = [], []
-        for text in texts:
-            found = text.encode().lower().split()
-            words.append(START)
-            words += found
-            words.append(END)
-            lengths.append(len(found) + 2)
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        digests = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    def __init__(self, texts: pa.Array):
+        split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
+        found = split.flatten()
+        whole = pa.compute.binary_length(found).to_numpy() > 0  # white space at an edge leaves an empty word
+        text_of = np.repeat(np.arange(len(split)), pa.compute.list_value_length(split).to_numpy())[whole]
+        coded = found.filter(pa.array(whole)).dictionary_encode()
+        known = len(coded.dictionary)
+        lengths = np.bincount(text_of, minlength=len(split)) + 2
+        self.first = np.cumsum([0, *lengths[:-1]])
+        ids = np.empty(int(lengths.sum()), np.int32)
+        ids[np.arange(len(text_of)) + 2 * text_of + 1] = coded.indices.to_numpy()
+        ids[self.first], ids[self.first + lengths - 1] = known, known + 1
+        digests = np.array(
+            [*map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), *map(xxhash.xxh3_64_intdigest, (START, END))],
+            np.uint64,
+        )
         self.words, number = np.unique(digests, return_inverse=True)
-        ids = number[coded.indices.to_numpy()]
-        self.first = np.cumsum([0, *lengths])[:-1]
-        self.owner = np.repeat(np.arange(len(texts)), np.array(lengths) - 1)
+        ids = number.astype(np.int32)[ids]
+        self.owner = np.repeat(np.arange(len(texts)), lengths - 1)
         follows = np.ones(len(ids), bool)
         follows[self.first] = False
         at = np.flatnonzero(follows)
         self.state, self.word = ids[at - 1], ids[at]
         pairs, order = np.unique(self.state.astype(np.int64) << 32 | self.word, return_inverse=True)
-        joint = mix(mix(self.words[pairs >> 32]) + self.words[pairs & 0xFFFFFFFF] * np.uint64(0xD6E8FEB86659FD93))
+        joint = common.mix(common.mix(self.words[pairs >> 32]) + self.words[pairs & 0xFFFFFFFF] * np.uint64(0xD6E8FEB86659FD93))
         self.pairs, number = np.unique(joint, return_inverse=True)
         self.pair = number[order]
         self.start, self.end = (
@@ -102,60 +83,62 @@ class Block:
         )
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in numbered blocks; they are stored, so that both uses have the same ones."""
+    block = TaskContext.get().partitionId() << 32
+    for rows in common.blocks(batches, BLOCK_BYTES):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_batch(rows)
+        payload = zstandard.compress(sink.getvalue(), 3)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.array([TEXTS], pa.int32()),
+             pa.array([payload], pa.binary())], ["block", "part", "kind", "payload"],
+        )
+        block += 1
+
+
+def _rows(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(payload)).read_all().combine_chunks()
+
+
 def _send(parts: int):
-    """Texts of each block, and for every range of digests those of the block with its training counts."""
+    """For every range of digests those of a block, with its training counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for rows in common.blocks(batches, BLOCK_BYTES):
-            found = Block(rows.column("text").to_pylist())
-            train = ~np.array(rows.column("held_out").to_pylist(), bool)[found.owner]
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as writer:
-                writer.write_batch(rows)
-            out = [(block, None, TEXTS, zstandard.compress(sink.getvalue().to_pybytes(), 3), None)]
-            for kind, digests, used in ((WORDS, found.words, found.word), (PAIRS, found.pairs, found.pair)):
-                counts = np.bincount(used[train], minlength=len(digests)).astype(np.uint32)
-                ends = [*np.searchsorted(digests, _ends(parts)), len(digests)]
-                for part in range(parts):
-                    a, b = ends[part], ends[part + 1]
-                    if a < b:
-                        steps = np.diff(digests[a:b], prepend=np.uint64(0))
-                        out.append((block, part, kind, _pack(steps), _pack(counts[a:b])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])],
-                ["block", "part", "kind", "payload", "counts"],
-            )
-            block += 1
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                rows = _rows(payload.as_buffer())
+                found = Block(rows.column("text").chunk(0))
+                train = ~rows.column("held_out").to_numpy()[found.owner]
+                out = []
+                for kind, digests, used in ((WORDS, found.words, found.word), (PAIRS, found.pairs, found.pair)):
+                    counts = np.bincount(used[train], minlength=len(digests)).astype(np.uint32)
+                    ends = [*np.searchsorted(digests, common.ends(parts)), len(digests)]
+                    for part in range(parts):
+                        a, b = ends[part], ends[part + 1]
+                        if a < b:
+                            steps = np.diff(digests[a:b], prepend=np.uint64(0))
+                            out.append((block, part, kind, common.pack(steps), common.pack(counts[a:b])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in
+                     zip(zip(*out), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])],
+                    ["block", "part", "kind", "payload", "counts"],
+                )
 
     return send
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
-    """Rows that come sorted by ``keys``, one list for each value."""
-    held, last = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
-            if held and key != last:
-                yield held
-                held = []
-            held.append(row)
-            last = key
-    if held:
-        yield held
-
-
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For one range: the summed counts, to each block in its order, and one row with the range's totals."""
-    for run in _runs(batches, ["part", "kind"]):
-        sent = [np.cumsum(_unpack(r["payload"], "<u8"), dtype=np.uint64) for r in run]
+    for run in common.runs(batches, ["part", "kind"]):
+        sent = [np.cumsum(common.unpack(r["payload"], "<u8"), dtype=np.uint64) for r in run]
         digests, number = np.unique(np.concatenate(sent), return_inverse=True)
-        own = np.concatenate([_unpack(r["counts"], "<u4") for r in run])
+        own = np.concatenate([common.unpack(r["counts"], "<u4") for r in run])
         counts = np.bincount(number, own, len(digests)).astype(np.int64)
         ends = np.cumsum([len(s) for s in sent])[:-1]
         kind, part = run[0]["kind"], run[0]["part"]
-        answers = [_pack(counts[n].astype(np.uint32)) for n in np.split(number, ends)]
+        answers = [common.pack(counts[n].astype(np.uint32)) for n in np.split(number, ends)]
         blocks = [r["block"] for r in run]
         total, known = (int(counts.sum()), int((counts > 0).sum())) if kind == WORDS else (0, 0)
         size = len(blocks)
@@ -193,11 +176,11 @@ class Automaton:
 
 def _score(tokens: int, types: int, strength: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["block"]):
-            rows = pa.ipc.open_stream(zstandard.decompress(run[0]["payload"])).read_all()
-            block = Block(rows.column("text").to_pylist())
+        for run in common.runs(batches, ["block"]):
+            rows = _rows(run[0]["payload"])
+            block = Block(rows.column("text").chunk(0))
             counts = {
-                kind: np.concatenate([_unpack(r["payload"], "<u4") for r in run if r["kind"] == kind])
+                kind: np.concatenate([common.unpack(r["payload"], "<u4") for r in run if r["kind"] == kind])
                 for kind in (WORDS, PAIRS)
             }
             automaton = Automaton(block, counts[WORDS], counts[PAIRS], tokens, types, strength)
@@ -215,10 +198,9 @@ def lm_scores(docs: DataFrame, held_out, strength: float = 1000.0) -> DataFrame:
     """One row per document, learned from those whose ``held_out`` is false."""
     spark = docs.sparkSession
     parts = common.shuffle_parts(spark)
-    # A block's rows go to the range's task and back, so the ranges are as many as the tasks of a shuffle.
     read = common.texts(docs, held_out.alias("held_out")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sent = materialize(read.mapInArrow(_send(parts), SENT))
-    asked = sent.where(F.col("kind") > TEXTS)
+    sent = materialize(read.mapInArrow(_blocks, "block long, part int, kind int, payload binary"))
+    asked = sent.mapInArrow(_send(parts), "block long, part int, kind int, payload binary, counts binary")
     answered = materialize(
         asked.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(
             _answer, "block long, part int, kind int, payload binary, tokens long, types long"
@@ -229,7 +211,7 @@ def lm_scores(docs: DataFrame, held_out, strength: float = 1000.0) -> DataFrame:
         .agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     )
     columns = ["block", "kind", "part", "payload"]
-    together = sent.where(F.col("kind") == TEXTS).select(*columns).unionByName(
+    together = sent.select(*columns).unionByName(
         answered.where(F.col("block").isNotNull()).select(*columns)
     )
     return (

@@ -41,46 +41,60 @@ def words_of(text: str) -> list[str] | None:
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes, with a bounded cache of words."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.most_words = most_words
+        pieces = self.library.get_vocab()
+        self.closing = np.zeros(max(pieces.values()) + 1, bool)
+        self.closing[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
 
+    def _encoded(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of the words one after another, and where each word's ids end; every word has one closing piece."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(words):  # a word that the library leaves out or splits
+            each = [coded.ids for coded in self.library.encode_batch(words, add_special_tokens=False)]
+            ids, ends = np.array([i for e in each for i in e], "<u4"), np.cumsum([len(e) for e in each])
+        return ids.tobytes(), ends
+
     def _learn(self, words: list[str]) -> None:
         if len(self.cache) + len(words) > self.most_words:
             self.cache = {}
         for start in range(0, len(words), 20_000):
             part = words[start : start + 20_000]
-            for word, coded in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.cache[word] = np.array(coded.ids, "<u4").tobytes()
+            coded, ends = self._encoded(part)
+            at = 0
+            for word, end in zip(part, (4 * ends).tolist()):
+                self.cache[word] = coded[at:end]
+                at = end
 
-    def ids(self, text: str) -> bytes:
-        words = words_of(text)
+    def _ids(self, text: str, words: list[str] | None) -> bytes:
         if words is None:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
             distinct = set(words)
-            missing = [w for w in distinct if w not in self.cache]
-            self._learn(missing)
-            if len(distinct) > len(missing) and any(w not in self.cache for w in distinct):
+            self._learn([w for w in distinct if w not in self.cache])
+            if any(w not in self.cache for w in distinct):  # the cache was full and began anew
                 self._learn([w for w in distinct if w not in self.cache])
             return b"".join(map(self.cache.__getitem__, words))
 
     def ids_of_all(self, many: list[str]) -> list[bytes]:
-        """Ids of many texts; the words they miss are learned in one library call."""
+        """Ids of many texts; the words they miss are learned in one go."""
         split = [words_of(text) for text in many]
-        missing = {w for words in split if words for w in set(words) if w not in self.cache}
+        missing = {w for words in split if words for w in words if w not in self.cache}
         if len(missing) <= self.most_words // 2:
             self._learn(list(missing))
-        return [self.ids(text) for text in many]
+        return [self._ids(text, words) for text, words in zip(many, split)]
 
-    def count(self, words: list[str]) -> list[int]:
+    def count(self, words: list[str]) -> np.ndarray:
         """Number of ids of each word, uncached."""
-        return [len(coded.ids) for coded in self.library.encode_batch(words, add_special_tokens=False)]
+        sizes = [np.diff(self._encoded(words[k : k + 20_000])[1], prepend=0) for k in range(0, len(words), 20_000)]
+        return np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
 
     def count_text(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from adperf.llm import common, lm_scoring, queries
@@ -62,9 +64,7 @@ def test_empty_table(spark):
 
 
 def test_arcs_of_a_state_add_up_to_one():
-    block = lm_scoring.Block(["a b a c", "b a", "c"])
-    import numpy as np
-
+    block = lm_scoring.Block(pa.array(["a b a c", "b a", "c"]))
     words = np.bincount(block.word, minlength=len(block.words))
     pairs = np.bincount(block.pair, minlength=len(block.pairs))
     tokens, types = words.sum(), (words > 0).sum()
