@@ -77,9 +77,9 @@ def class_of(own: np.ndarray) -> int:
 def prefix(own: np.ndarray, percent: int, often: np.ndarray | None) -> np.ndarray:
     size = len(own) - -(-percent * len(own) // 100) + 1
     if often is not None:
-        marked = often[(own >> np.uint64(64 - BITS)).astype(np.int64)]
-        if marked[:size].any():
-            own = np.concatenate([own[~marked], own[marked]])
+        late = marked(often, own >> np.uint64(64 - BITS))
+        if late[:size].any():
+            own = np.concatenate([own[~late], own[late]])
     return own[:size]
 
 
@@ -98,7 +98,12 @@ def bit_map(rows: DataFrame, column: str) -> np.ndarray:
     out = np.zeros(1 << (BITS - 6), np.int64)
     for r in words:
         out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def marked(bits: np.ndarray, high: np.ndarray) -> np.ndarray:
+    at = high.astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def _read_sets(words: int, percent: int):
@@ -150,7 +155,7 @@ def _wanted_sets(words: int, wanted):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             high = batch.column("row_key").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
-            chosen = batch.take(pa.array(np.flatnonzero(wanted.value[high.astype(np.int64)])))
+            chosen = batch.take(pa.array(np.flatnonzero(marked(wanted.value, high))))
             for block in common.blocks(iter([chosen])):
                 sets = shingle_sets(block.column("text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays(
