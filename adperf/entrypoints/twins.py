@@ -247,9 +247,6 @@ bands AS (
   FROM w)"""
 POINT = "(event_id * 7919 % 1000003) / 1000003.0"
 
-RAMP = """CASE WHEN is_drift_segment AND is_drift_window
-  THEN 1.0 - least(datediff('day', DATE '2024-01-21', event_date) / 7.0, 1.0) * 0.6 ELSE 1.0 END"""
-
 
 def _check_rows(rows: list[tuple[str, str, str]], source: str) -> str:
     return " UNION ALL ".join(
@@ -339,26 +336,6 @@ points AS (SELECT event_id, ts >= TIMESTAMP '2024-01-21' AS is_drift_window, """
             "SELECT event_id, is_drift_window, channel AS picked_channel FROM points JOIN bands "
             "USING (is_drift_window) WHERE point >= low AND point < high",
         ),
-        "factor_score": _with(
-            SILVER,
-            f"""SELECT impression_id,
-  round(greatest(0.001, least(0.15,
-    CASE channel WHEN 'Search' THEN 0.032 WHEN 'Email' THEN 0.028 WHEN 'Affiliate' THEN 0.022
-      WHEN 'Social' THEN 0.020 WHEN 'Display' THEN 0.012 ELSE 0.02 END::DOUBLE
-    * CASE WHEN visitor_type = 'returning' THEN 1.4 ELSE 0.8 END::DOUBLE
-    * CASE device WHEN 'Desktop' THEN 1.15 WHEN 'Mobile' THEN 0.95 ELSE 0.90 END::DOUBLE
-    * CASE WHEN hour_of_day BETWEEN 18 AND 22 THEN 1.2 WHEN hour_of_day BETWEEN 2 AND 6 THEN 0.7
-        ELSE 1.0 END::DOUBLE
-    * CASE WHEN country IN ('US', 'CA', 'GB') THEN 1.05 WHEN country = 'AU' THEN 0.95 ELSE 1.0 END::DOUBLE
-    * CASE objective WHEN 'retargeting' THEN 1.5 WHEN 'awareness' THEN 0.6 ELSE 1.0 END::DOUBLE
-    * ({RAMP})::DOUBLE)), 9) AS expected_ctr,
-  round(CASE channel WHEN 'Search' THEN 0.16 WHEN 'Email' THEN 0.15 WHEN 'Affiliate' THEN 0.13
-      WHEN 'Social' THEN 0.11 WHEN 'Display' THEN 0.08 ELSE 0.12 END::DOUBLE
-    * CASE WHEN visitor_type = 'returning' THEN 1.3 ELSE 0.85 END::DOUBLE
-    * CASE WHEN objective = 'awareness' THEN 0.6 ELSE 1.0 END::DOUBLE, 9) AS expected_cvr
-FROM silver""",
-        ),
-        "linear_ramp": _with(SILVER, f"SELECT impression_id, round(({RAMP})::DOUBLE, 6) AS drift_ramp FROM silver"),
         "filtered_slice": _with(
             SEGMENTS,
             "SELECT channel, country, CAST(sum(impressions) AS BIGINT) AS impressions, "
@@ -444,7 +421,7 @@ FROM silver""",
             "FROM pred JOIN base USING (campaign_id) WHERE is_drift_window "
             "GROUP BY channel, campaign_id, campaign_name, device, country "
             f"ORDER BY round({weighted['ctr_gap_stale']}, 6) DESC, channel, campaign_id, campaign_name, device, country "
-            "LIMIT 20",
+            "",
         ),
         "cohort_ctr": _with(
             SEGMENTS,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,21 +66,6 @@ def first_match(branches: list[tuple[Column, Column | float]], default) -> Colum
     return chain.otherwise(F.lit(default))
 
 
-def factor_score(
-    base: Column, factors: list[Column], low: float, high: float, offset: Column | float = 0.0
-) -> Column:
-    """base * product(factors) + offset, limited to [low, high]."""
-    product = reduce(lambda acc, factor: acc * factor, factors, base)
-    return clamp(product + (offset if isinstance(offset, Column) else F.lit(offset)), low, high)
-
-
-def linear_ramp(day: Column | str, start, days: float, depth: float, active: Column) -> Column:
-    """1.0 outside ``active``; inside it falls linearly from 1 to 1 - depth over ``days`` from ``start``."""
-    elapsed = F.datediff(_col(day), F.lit(start)).cast("double") / F.lit(float(days))
-    ramp = F.lit(1.0) - F.least(elapsed, F.lit(1.0)) * F.lit(float(depth))
-    return F.when(active, ramp).otherwise(F.lit(1.0))
-
-
 def rounded(x: Column | str, digits: int) -> Column:
     """Rounded double without a negative zero."""
     return F.round(_col(x), digits) + F.lit(0.0)

@@ -117,16 +117,17 @@ def cumulative_bands(
         running = whole.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         summed = weights.select(
             *by, key,
-            F.col(weight).alias("__w"),
             F.sum(weight).over(running).alias("__upto"),
             F.sum(weight).over(whole).alias("__total"),
-        )
+            F.lead(F.lit(1)).over(whole.orderBy(key)).isNull().alias("__last"),
+        ).withColumn("__from", F.lag("__upto").over(whole.orderBy(key)))
     else:
         summed = _partitioned_running_sum(weights, key, weight, list(by))
+    # A band begins with the very number that the one before it ends with.
     return summed.select(
         *by, key,
-        ((F.col("__upto") - F.col("__w")) / F.col("__total")).alias("low"),
-        (F.col("__upto") / F.col("__total")).alias("high"),
+        F.coalesce(F.col("__from") / F.col("__total"), F.lit(0.0)).alias("low"),
+        F.when(F.col("__last"), F.lit(1.0)).otherwise(F.col("__upto") / F.col("__total")).alias("high"),
     )
 
 
@@ -145,14 +146,21 @@ def _partitioned_running_sum(weights: DataFrame, key: str, weight: str, by: list
         ).alias("__before"),
         F.sum("__part_total").over(group).alias("__total"),
     )
-    inside = Window.partitionBy(*by, "__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        stored.withColumn("__inner", F.sum(weight).over(inside))
+    within = Window.partitionBy(*by, "__part").orderBy(key)
+    summed = materialize(
+        stored.withColumn("__inner", F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("__end", F.lead(F.lit(1)).over(within).isNull())
         .join(offsets, [*by, "__part"], "inner")
-        .select(
-            *by, key,
-            F.col(weight).alias("__w"),
-            (F.col("__before") + F.col("__inner")).alias("__upto"),
-            "__total",
-        )
+        .select(*by, key, "__part", "__end", (F.col("__before") + F.col("__inner")).alias("__upto"), "__total")
+    )
+    ends = summed.where("__end").select(*by, "__part", "__upto")
+    handed = ends.select(
+        *by, "__part",
+        F.lag("__upto").over(group.orderBy("__part")).alias("__handed"),
+        F.lead(F.lit(1)).over(group.orderBy("__part")).isNull().alias("__final"),
+    )
+    return summed.join(handed, [*by, "__part"], "inner").select(
+        *by, key, "__upto", "__total",
+        F.coalesce(F.lag("__upto").over(within), "__handed").alias("__from"),
+        (F.col("__final") & F.col("__end")).alias("__last"),
     )

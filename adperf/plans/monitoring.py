@@ -54,7 +54,8 @@ def health_trend(metrics: DataFrame, window_days: int = 7) -> DataFrame:
 def health_latest_overall(metrics: DataFrame, window_days: int = 7) -> DataFrame:
     """The newest overall row."""
     overall = metrics.where(_is_overall() & (F.col("window_days") == window_days))
-    return overall.orderBy(F.col("metric_date").desc(), F.col("model_version").desc()).limit(1)
+    number = F.expr("try_cast(model_version AS BIGINT)")
+    return overall.orderBy(F.col("metric_date").desc(), number.desc(), F.col("model_version").desc()).limit(1)
 
 
 def health_slices_latest(metrics: DataFrame, window_days: int = 7) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,10 @@ def group_mean_predictions(
 def prior_as_stale(scored: DataFrame, prior: DataFrame) -> DataFrame:
     """Replace the stale prediction by what the previous champion said about the same segment-day.
 
-    The grain is unique on both sides, so no key is hot.
+    The grain is unique on both sides, so no key is hot. Missing key parts match each other.
     """
-    previous = prior.select(*GRAIN, F.col("predicted_ctr_champion").alias("predicted_ctr_stale"))
-    return scored.drop("predicted_ctr_stale").join(previous, GRAIN, "left")
+    previous = prior.select(
+        *[F.col(name).alias(f"__{name}") for name in GRAIN], F.col("predicted_ctr_champion").alias("predicted_ctr_stale")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in GRAIN])
+    return scored.drop("predicted_ctr_stale").join(previous, same, "left").drop(*[f"__{name}" for name in GRAIN])

@@ -164,8 +164,8 @@ def ctr_by_channel_before_after(campaigns: DataFrame) -> DataFrame:
     )
 
 
-def worst_segments(predictions: DataFrame, means: DataFrame, top: int = 20) -> DataFrame:
-    """The segments that the stale model over-predicts most in the drift window."""
+def worst_segments(predictions: DataFrame, means: DataFrame) -> DataFrame:
+    """Every segment of the drift window, those that the stale model over-predicts most first."""
     keys = ["channel", "campaign_id", "campaign_name", "device", "country"]
     waste = F.when(
         F.col("is_drift_segment"),
@@ -183,7 +183,6 @@ def worst_segments(predictions: DataFrame, means: DataFrame, top: int = 20) -> D
             F.coalesce(F.sum("wasted"), F.lit(0.0)).alias("wasted_spend_usd"),
         )
         .orderBy(F.round("ctr_gap_stale", 6).desc(), *keys)
-        .limit(top)
     )
 
 

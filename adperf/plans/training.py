@@ -241,6 +241,7 @@ def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
     return literal_rows(spark, rows, IMPORTANCE_SCHEMA)
 
 
-def top_features(importance: DataFrame, top: int = 10) -> DataFrame:
-    """The most important slots."""
-    return importance.orderBy(F.col("importance").desc(), "feature").limit(top)
+def top_features(importance: DataFrame, top: int | None = None) -> DataFrame:
+    """The slots by importance; all of them unless ``top`` is given."""
+    ordered = importance.orderBy(F.col("importance").desc(), "feature")
+    return ordered if top is None else ordered.limit(top)

@@ -91,3 +91,14 @@ def test_cumulative_bands_by_partitions_equal_one_window(spark, by):
     many = bands.cumulative_bands(weights, "k", "w", by, small_rows=10)
     order = [*by, "k"]
     assert one.orderBy(*order).collect() == many.orderBy(*order).collect()
+
+
+@pytest.mark.parametrize("small_rows", [10**6, 0])
+def test_bands_of_fractions_touch(spark, small_rows):
+    rows = [(g, k, (k * 7919 % 997 + 1) / 10.0) for g in ("a", "b") for k in range(1500)]
+    weights = spark.createDataFrame(rows, "g string, k int, w double")
+    found = bands.cumulative_bands(weights, "k", "w", by=["g"], small_rows=small_rows).orderBy("g", "k").collect()
+    for g in ("a", "b"):
+        own = [r for r in found if r.g == g]
+        assert own[0].low == 0.0 and own[-1].high == 1.0 and len(own) == 1500
+        assert all(a.high == b.low for a, b in zip(own, own[1:]))

@@ -50,17 +50,6 @@ def test_case_lookup_and_first_match(spark):
     assert values(spark, first, [(5,), (1,), (-1,)], "x int") == ["big", "small", "none"]
 
 
-def test_linear_ramp(spark):
-    ramp = scalars.linear_ramp("d", date(2024, 1, 1), 7, 0.6, F.col("d") >= F.lit(date(2024, 1, 1)))
-    rows = [(date(2023, 12, 31),), (date(2024, 1, 1),), (date(2024, 1, 8),), (date(2024, 2, 1),)]
-    assert values(spark, ramp, rows, "d date") == pytest.approx([1.0, 1.0, 0.4, 0.4])
-
-
-def test_factor_score_is_limited(spark):
-    score = scalars.factor_score(F.col("b"), [F.lit(2.0), F.lit(3.0)], 0.001, 0.15, offset=0.01)
-    assert values(spark, score, [(0.01,), (1.0,), (-1.0,)], "b double") == pytest.approx([0.07, 0.15, 0.001])
-
-
 def test_weighted_metrics(spark):
     rows = [(0.1, 0.2, 10), (0.3, 0.1, 30), (0.5, None, 1000)]
     df = spark.createDataFrame(rows, "y double, p double, w int")
