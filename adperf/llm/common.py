@@ -26,8 +26,17 @@ def remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % divisor
 
 
+#: Rows that Spark hands to a Python task at once; texts may be long, so far fewer than its default of 10,000.
+ROWS_AT_ONCE = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+
+
 def texts(docs: DataFrame, *more: Column) -> DataFrame:
     """``doc_id`` and ``text`` with NULL as an empty text; other columns stay away, whatever their names."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -320,6 +320,7 @@ def fit(pages: DataFrame, sample: int = 2000) -> Model:
 def main_text(spark, model: Model) -> Column:
     """The main text of the column ``html``."""
     shared = spark.sparkContext.broadcast(model)
+    common.bound_batches(spark)
 
     @F.pandas_udf("string")
     def text(source: pd.Series) -> pd.Series:

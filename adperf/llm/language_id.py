@@ -180,6 +180,7 @@ def predict(model: Model | None, text: str | None) -> tuple[str, float, bool]:
 def language_of(docs: DataFrame, model: Model | None) -> Column:
     """Struct of ``lang_pred``, ``score`` and ``rejected`` for the column ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    common.bound_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def nearest(text: pd.Series) -> pd.DataFrame:
