@@ -41,7 +41,7 @@ def words_of(text: str) -> list[str] | None:
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes, with a bounded cache of words."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
