@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_match
 from ..session import materialize
-from .lookups import SMALL_TABLE_ROWS, has_at_most
+from .lookups import SMALL_TABLE_ROWS, is_small
+
+# Up to this many bands a fact row is compared with every band.
+NESTED_LOOP_BANDS = 48
+# Most bins of bands that do not overlap, so that the bins of one band fit a row.
+MOST_BINS = 1 << 20
 
 # Ratio between the bin widths of neighbouring levels.
 LEVEL_BASE = 8.0
@@ -29,15 +36,16 @@ def band_label(x: Column, bands: list[tuple]) -> Column:
 
 
 def broadcast_band_join(
-    df: DataFrame, bands: DataFrame, x: str, low: str = "low", high: str = "high", on: list[str] = ()
+    df: DataFrame, bands: DataFrame, x: str, low: str = "low", high: str = "high", on: list[str] = (),
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner range join against bands whose number the caller knows to be small (literal tables)."""
+    """Range join, inner or left, against bands whose number the caller knows to be small (literal tables)."""
     table = F.broadcast(_renamed(bands, low, high))
     condition = _in_band(x)
     for name in on:
         table = table.withColumnRenamed(name, f"__{name}")
         condition = (F.col(name) == F.col(f"__{name}")) & condition
-    return df.join(table, condition, "inner").drop("__low", "__high", *[f"__{name}" for name in on])
+    return df.join(table, condition, how).drop("__low", "__high", *[f"__{name}" for name in on])
 
 
 def binned_band_join(
@@ -85,6 +93,33 @@ def binned_band_join(
     return facts.join(table, condition, "inner").drop(*helpers, *[f"__{name}" for name in on])
 
 
+def disjoint_band_join(
+    df: DataFrame, bands: DataFrame, x: str, low: str = "low", high: str = "high"
+) -> DataFrame:
+    """Inner range join against finite bands that do not overlap, such as those from weights.
+
+    All bins have one width, the bands' span by their number, so the bands touch
+    no more bins than there are bands and bins together, and a fact row looks
+    into one bin. The bands are stored first, as their span is needed.
+    """
+    table = materialize(_renamed(bands, low, high).where(F.col("__low") < F.col("__high")))
+    n, first, last = table.agg(
+        F.count(F.lit(1)), F.min("__low").cast("double"), F.max("__high").cast("double")
+    ).first()
+    first, width = (first, (last - first) / min(n, MOST_BINS)) if n else (0.0, 1.0)
+    if not (math.isfinite(first) and math.isfinite(width)):
+        raise ValueError("bands without an end need binned_band_join")
+
+    def bin_of(value: Column) -> Column:
+        return F.floor((value.cast("double") - F.lit(first)) / F.lit(width)).cast("bigint")
+
+    table = table.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__low")), bin_of(F.col("__high")))))
+    facts = df.withColumn("__fact_bin", bin_of(F.col(x)))
+    return facts.join(table, (F.col("__fact_bin") == F.col("__bin")) & _in_band(x), "inner").drop(
+        "__low", "__high", "__bin", "__fact_bin"
+    )
+
+
 def band_join(
     df: DataFrame,
     bands: DataFrame,
@@ -92,13 +127,13 @@ def band_join(
     low: str = "low",
     high: str = "high",
     on: list[str] = (),
-    small_rows: int = SMALL_TABLE_ROWS,
+    small_rows: int = NESTED_LOOP_BANDS,
 ) -> DataFrame:
-    """Inner range join: broadcast when the counted bands are few, binned equi-join otherwise.
+    """Inner range join: compared one by one when the counted bands are a few dozen, binned equi-join otherwise.
 
     ``on`` adds equality columns, for instance the regime a band set is valid in.
     """
-    join = broadcast_band_join if has_at_most(bands, small_rows) else binned_band_join
+    join = broadcast_band_join if is_small(bands, small_rows) else binned_band_join
     return join(df, bands, x, low, high, on)
 
 
@@ -112,7 +147,7 @@ def cumulative_bands(
     then shifted by the total of the partitions before it.
     """
     weights = materialize(weights.select(*by, key, weight))
-    if has_at_most(weights, small_rows):
+    if weights.count() <= small_rows:
         whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
         running = whole.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         summed = weights.select(

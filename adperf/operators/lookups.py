@@ -5,33 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows a keyed table counts as small.
+# Up to this many rows, and bytes as JSON text, a keyed table counts as small.
 SMALL_TABLE_ROWS = 100_000
+SMALL_TABLE_BYTES = 16 << 20
 # Over how many tasks a hot key is spread.
 SALTS = 16
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; reads one row more at most."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int, most_bytes: int = SMALL_TABLE_BYTES) -> bool:
+    """Whether ``df`` is within both bounds; one aggregate, of which each partition hands on one row."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and size <= most_bytes
 
 
-def salt(spread: list[str]):
-    """A number below SALTS from the row's own columns, so a task that runs again gives the same one."""
-    return F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+def salt(spread: list[str], salts: int = SALTS):
+    """A number below ``salts`` from the row's own columns, so a task that runs again gives the same one."""
+    return F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
 
 
 def lookup_join(
-    fact: DataFrame, lookup: DataFrame, key: str, spread: list[str], small_rows: int | None = None
+    fact: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    spread: list[str],
+    small_rows: int | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join with a table that has one row per key, best a stored one as it is counted first.
+    """Inner join with a table that has one row per key, best a stored one as it is measured first.
 
     A small table is broadcast and the fact stays where it is. Otherwise both
     sides are shuffled on (key, salt): the table is repeated for every salt and
     a key that holds much of the fact is spread over as many tasks. ``spread``
-    names fact columns that differ between the rows of a key.
+    names fact columns that differ between the rows of a key; a key that holds the
+    share s of the fact wants about s times as many ``salts`` as there are tasks.
     """
-    if has_at_most(lookup, SMALL_TABLE_ROWS if small_rows is None else small_rows):
+    if is_small(lookup, SMALL_TABLE_ROWS if small_rows is None else small_rows):
         return fact.join(F.broadcast(lookup), key, "inner")
-    repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return fact.withColumn("__salt", salt(spread)).join(repeated, [key, "__salt"], "inner").drop("__salt")
+    repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return fact.withColumn("__salt", salt(spread, salts)).join(repeated, [key, "__salt"], "inner").drop("__salt")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..operators.layers import SEGMENT_KEYS
 from ..operators.slices import OVERALL
 from ..sources.calendar import calendar_spine
 from ..sources.tables import literal_rows
@@ -33,32 +36,58 @@ def _violations(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def _row_counts(keys: list[str]) -> dict[str, Column]:
+    """The row count and the rows that break each rule, as aggregates by name."""
+    return {
+        "rows": F.count(F.lit(1)),
+        "unclicked_conversions": _violations((F.col("converted") == 1) & (F.col("clicked") != 1)),
+        **{f"null_{key}": _violations(F.col(key).isNull()) for key in keys},
+    }
+
+
+def _row_rules(keys: list[str], min_rows: int, max_rows: int) -> list[tuple[str, Column, Column]]:
+    rows, unclicked = F.col("rows"), F.col("unclicked_conversions")
+    return [
+        ("converted_implies_clicked", unclicked, unclicked == 0),
+        ("row_count", rows, rows.between(min_rows, max_rows)),
+        *[(f"no_null_{key}", F.col(f"null_{key}"), F.col(f"null_{key}") == 0) for key in keys],
+    ]
+
+
+def _outside(rate: Column, max_ctr: float) -> Column:
+    return _violations(~rate.between(0.0, max_ctr)).alias("outside")
+
+
 def row_checks(
     silver: DataFrame, keys: list[str], min_rows: int, max_rows: int
 ) -> DataFrame:
     """Conversions have clicks, keys are not NULL, the row count is near its target."""
-    counted = silver.agg(
-        F.count(F.lit(1)).alias("rows"),
-        _violations((F.col("converted") == 1) & (F.col("clicked") != 1)).alias("unclicked_conversions"),
-        *[_violations(F.col(key).isNull()).alias(f"null_{key}") for key in keys],
-    )
-    rows, unclicked = F.col("rows"), F.col("unclicked_conversions")
-    return report(
-        counted,
-        [
-            ("converted_implies_clicked", unclicked, unclicked == 0),
-            ("row_count", rows, rows.between(min_rows, max_rows)),
-            *[(f"no_null_{key}", F.col(f"null_{key}"), F.col(f"null_{key}") == 0) for key in keys],
-        ],
-    )
+    counted = silver.agg(*[count.alias(name) for name, count in _row_counts(keys).items()])
+    return report(counted, _row_rules(keys, min_rows, max_rows))
 
 
 def rate_checks(segments: DataFrame, max_ctr: float) -> DataFrame:
     """Click rates lie within [0, max_ctr]."""
-    outside = segments.agg(_violations(~F.col("actual_ctr").between(0.0, max_ctr)).alias("outside"))
+    outside = segments.agg(_outside(F.col("actual_ctr"), max_ctr))
     return report(outside, [("actual_ctr_in_range", F.col("outside"), F.col("outside") == 0)])
 
 
+def fact_checks(
+    silver: DataFrame, keys: list[str], min_rows: int, max_rows: int, max_ctr: float
+) -> DataFrame:
+    """The row and the rate checks in one scan: counted within each segment-day, then summed up."""
+    counts = _row_counts(keys)
+    segments = silver.groupBy(*SEGMENT_KEYS).agg(
+        F.sum("clicked").alias("clicks"), *[count.alias(name) for name, count in counts.items()]
+    )
+    total = segments.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts],
+        _outside(ratio("clicks", "rows"), max_ctr),
+    )
+    rules = _row_rules(keys, min_rows, max_rows)
+    return report(total, [*rules, ("actual_ctr_in_range", F.col("outside"), F.col("outside") == 0)])
+
+
 def drift_weekly(segments: DataFrame) -> DataFrame:
     """Weekly click rate of the cohort, of the rest, and blended."""
     member = F.col("is_drift_segment")
@@ -108,10 +137,18 @@ def segment_count_check(counted: DataFrame, low: int, high: int) -> DataFrame:
     return report(counted, [("segment_count", n, n.between(low, high))])
 
 
-def days_present(segments: DataFrame) -> DataFrame:
-    """Impressions of every calendar day between the first and the last, 0 where a day is missing."""
+def days_present(segments: DataFrame, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Impressions of every calendar day from ``first`` to ``last``, 0 where a day is missing.
+
+    Without these, the days between the table's own first and last one, where a missing end is not seen.
+    """
     daily = segments.groupBy("event_date").agg(F.sum("impressions").alias("seen"))
-    return calendar_spine(segments).join(daily, "event_date", "left").select(
+    if first is None or last is None:
+        days = calendar_spine(segments)
+    else:
+        ends = literal_rows(segments.sparkSession, [(first,), (last,)], "event_date date")
+        days = calendar_spine(ends)
+    return days.join(daily, "event_date", "left").select(
         "event_date",
         F.coalesce("seen", F.lit(0).cast("bigint")).alias("impressions"),
         F.col("seen").isNotNull().alias("present"),

@@ -186,6 +186,25 @@ def worst_segments(predictions: DataFrame, means: DataFrame) -> DataFrame:
     )
 
 
+def segment_gaps(predictions: DataFrame, means: DataFrame) -> DataFrame:
+    """Every segment of the drift window: rates and gaps of both models, spend and wasted spend."""
+    shortfall = F.greatest(F.lit(0.0), F.lit(1.0) - ratio("actual_ctr", "baseline_ctr"))
+    wasted = F.when(F.col("is_drift_segment"), F.col("spend_usd") * shortfall)
+    rates = ["actual_ctr", "predicted_ctr_stale", "predicted_ctr_champion", "ctr_gap_stale", "ctr_gap_champion"]
+    baselines = means.select("campaign_id", "baseline_ctr")
+    return (
+        lookup_join(predictions.where(IN_WINDOW), baselines, "campaign_id", GRAIN)
+        .withColumn("wasted", wasted)
+        .groupBy(*SEGMENT, "is_drift_segment")
+        .agg(
+            F.sum("impressions").alias("impressions"),
+            *[ratio(F.sum(F.col(name) * F.col("impressions")), F.sum("impressions")).alias(name) for name in rates],
+            F.sum("spend_usd").alias("spend_usd"),
+            F.coalesce(F.sum("wasted"), F.lit(0.0)).alias("wasted_spend_usd"),
+        )
+    )
+
+
 def cohort_ctr(segments: DataFrame) -> DataFrame:
     """Click rate of the drifted campaigns before and inside the drift window, in one pass."""
     member, after = F.col("is_drift_segment"), F.col(IN_WINDOW)

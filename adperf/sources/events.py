@@ -15,6 +15,11 @@ from .tables import literal_rows
 DRIFT_START = date(2024, 1, 21)
 DRIFT_CAMPAIGNS = ["CMP-004", "CMP-006", "CMP-007", "CMP-008"]
 
+# The click loss that the named queries put into the given events, to have a drift to find.
+CLICK_LOSS = (DRIFT_START, DRIFT_CAMPAIGNS)
+# Label of what an event without the needed fields would have been looked up by.
+UNKNOWN = "Unknown"
+
 # The campaign of each slot (slot, campaign, channel, objective).
 CAMPAIGNS = [
     (0, "CMP-001", "Search", "conversion"),
@@ -41,8 +46,7 @@ VISITOR_BANDS = [("returning", 0, 9), ("new", 9, 20)]
 
 def campaign_slots(spark: SparkSession) -> DataFrame:
     """The twelve literal campaigns; their number is fixed by this file, so they can be broadcast."""
-    rows = literal_rows(spark, CAMPAIGNS, "slot int, campaign_id string, channel string, objective string")
-    return rows.withColumn("campaign_name", F.concat_ws(" ", "channel", "campaign_id"))
+    return literal_rows(spark, CAMPAIGNS, "slot int, campaign_id string, channel string, objective string")
 
 
 def _point(x: Column) -> Column:
@@ -92,31 +96,47 @@ BANDS = [
 
 
 def join_visitor_bands(events: DataFrame) -> DataFrame:
-    """Device, country and visitor type by three range joins against literal band tables."""
+    """Device, country and visitor type by three range joins against literal band tables; no event is lost."""
     for name, rows, point in BANDS:
         table = literal_rows(events.sparkSession, rows, f"{name} string, low int, high int")
-        events = broadcast_band_join(events, table, point)
+        events = broadcast_band_join(events, table, point, how="left")
+        events = events.withColumn(name, F.coalesce(name, F.lit(UNKNOWN)))
     return events
 
 
 def label_visitor_bands(events: DataFrame) -> DataFrame:
     """The same three columns without a join, the bands being literals."""
-    return events.withColumns({name: band_label(F.col(point), rows) for name, rows, point in BANDS})
+    return events.withColumns({
+        name: F.coalesce(band_label(F.col(point), rows), F.lit(UNKNOWN)) for name, rows, point in BANDS
+    })
 
 
 def impressions(
-    spark: SparkSession, sf_dir: str, date_from: date | None = None, date_to: date | None = None
+    spark: SparkSession,
+    sf_dir: str,
+    date_from: date | None = None,
+    date_to: date | None = None,
+    click_loss: tuple[date, list[str]] | None = None,
 ) -> DataFrame:
-    """One row per impression, in the raw impression schema."""
+    """One row per event, in the raw impression schema; what cannot be looked up is "Unknown".
+
+    ``click_loss`` (a first day and campaigns) leaves a fifth of these campaigns'
+    clicks from that day on, so that a fixture has a drift.
+    """
     events = label_visitor_bands(keyed_events(spark, sf_dir, date_from, date_to)).join(
-        F.broadcast(campaign_slots(spark)), "slot", "inner"
-    )
-    collapsed = (
-        F.col("campaign_id").isin(DRIFT_CAMPAIGNS)
-        & (F.col("event_date") >= F.lit(DRIFT_START))
-        & (F.col("event_id") % 5 != 0)
+        F.broadcast(campaign_slots(spark)), "slot", "left"
     )
-    clicked = F.col("event_type").isin("click", "purchase") & ~collapsed
+    events = events.withColumns(
+        {name: F.coalesce(name, F.lit(UNKNOWN)) for name in ("campaign_id", "channel", "objective")}
+    ).withColumn("campaign_name", F.concat_ws(" ", "channel", "campaign_id"))
+    clicked = F.col("event_type").isin("click", "purchase")
+    if click_loss is not None:
+        first_day, campaigns = click_loss
+        clicked &= ~(
+            F.col("campaign_id").isin(campaigns)
+            & (F.col("event_date") >= F.lit(first_day))
+            & (F.col("event_id") % 5 != 0)
+        )
     converted = clicked & (F.col("event_type") == "purchase")
     return events.select(
         F.format_string("IMP-%09d", "event_id").alias("impression_id"),

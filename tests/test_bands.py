@@ -42,7 +42,7 @@ def test_band_join_goes_by_the_counted_size(spark, case):
     points, table = case
     facts = spark.createDataFrame([(p,) for p in points], "x double")
     lookup = spark.createDataFrame(table, "name string, low double, high double")
-    small = bands.band_join(facts, lookup, "x")
+    small = bands.band_join(facts, lookup, "x", small_rows=1_000)
     large = bands.band_join(facts, lookup, "x", small_rows=10)
     plan = large._jdf.queryExecution().optimizedPlan().toString()
     assert "__fact_bin" in plan
@@ -50,6 +50,23 @@ def test_band_join_goes_by_the_counted_size(spark, case):
     assert joined(small) == joined(large) == brute(points, table)
 
 
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_disjoint_bands_match_brute_force(spark, n):
+    rng = random.Random(n)
+    edges = sorted({rng.gauss(0, 1) ** 5 for _ in range(n + 1)})
+    table = [(f"b{i}", a, b) for i, (a, b) in enumerate(zip(edges, edges[1:])) if i % 5 != 4]
+    points = [rng.gauss(0, 2) for _ in range(500)] + edges + [float("nan"), float("inf"), float("-inf"), 1e300]
+    facts = spark.createDataFrame([(p,) for p in points], "x double")
+    lookup = spark.createDataFrame(table, "name string, low double, high double")
+    assert joined(bands.disjoint_band_join(facts, lookup, "x")) == brute(points, table)
+
+
+def test_disjoint_join_refuses_open_bands(spark):
+    lookup = spark.createDataFrame([("a", 0.0, float("inf"))], "name string, low double, high double")
+    with pytest.raises(ValueError, match="binned_band_join"):
+        bands.disjoint_band_join(spark.range(3).withColumnRenamed("id", "x"), lookup, "x")
+
+
 def test_binned_join_of_large_integers(spark):
     base = 2**60
     table = [("a", base, base + 1), ("b", base + 1, base + 3), ("c", base - 5, base + 500)]

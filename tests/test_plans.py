@@ -124,9 +124,10 @@ def test_hot_campaign_is_salted_and_nothing_is_lost(spark, hot_segments, monkeyp
     def total():
         rows = predictions.group_mean_predictions(hot_segments, 1.0, means=means)
         waste = questions.wasted_spend_rows(rows, means)
-        worst = questions.worst_segments(rows, means, 10)
+        worst = questions.worst_segments(rows, means)
         sums = waste.agg(F.count(F.lit(1)), F.round(F.sum("wasted_spend_usd"), 6)).first()
-        return sums, [(r["campaign_id"], round(r["ctr_gap_stale"], 9)) for r in worst.collect()]
+        # sums in another order may round to another place in the report, so the segments are compared by name
+        return sums, {r["campaign_id"]: r["ctr_gap_stale"] for r in worst.collect()}
 
     expected = total()
     spread = hot_segments.where("campaign_id = 'hot'").groupBy(lookups.salt(GRAIN).alias("salt")).count().collect()
@@ -134,7 +135,8 @@ def test_hot_campaign_is_salted_and_nothing_is_lost(spark, hot_segments, monkeyp
     assert max(row["count"] for row in spread) < 2 * 10_000 / lookups.SALTS
     monkeypatch.setattr(lookups, "SMALL_TABLE_ROWS", 10)
     with settings(spark, **SPLIT):
-        assert total() == expected
+        sums, gaps = total()
+    assert sums == expected[0] and gaps == pytest.approx(expected[1], abs=1e-9)
 
 
 def test_hot_key_of_a_plain_join_is_split(spark, hot_segments):
@@ -161,6 +163,23 @@ def test_hot_bin_is_split_and_nothing_is_lost(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_lookup_of_disjoint_bands_keeps_the_fact_as_it_is(spark, sf_dir):
+    plan = initial_plan(named.weighted_pick(spark, sf_dir))
+    assert plan.count("Generate explode") == 1
+    assert "NestedLoop" not in plan
+
+
+def test_many_bands_are_not_compared_one_by_one(spark):
+    table = spark.range(1_000).select(F.col("id").alias("band"), "id", (F.col("id") + 3).alias("high"))
+    joined = bands.band_join(spark.range(5_000).select(F.col("id").alias("x")), table, "x", low="id")
+    assert "NestedLoop" not in initial_plan(joined)
+    assert joined.count() == 3 * 1_000
+
+
+def test_row_and_rate_checks_scan_the_fact_once(spark, sf_dir):
+    assert initial_plan(named.dq_rows(spark, sf_dir)).count("FileScan") == 1
+
+
 def test_rollup_combines_a_hot_key_before_the_shuffle(spark, hot_segments):
     plan = initial_plan(predictions.campaign_means(hot_segments))
     assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate")
