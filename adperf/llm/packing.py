@@ -36,9 +36,19 @@ def binary_lengths(total: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << k for k in range(longest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer_path: str,
+    longest: int = 4096,
+    end_id: int = 2,
+    with_ids: bool = False,
+    cached_words: int = 700_000,
+) -> DataFrame:
     """One row per piece; ``with_ids`` adds the piece's ids as an array.
 
+    ``cached_words`` bounds the words whose ids a Python worker keeps, about 170
+    bytes each; fewer take less memory and more time, for the same pieces.
+
     ``bucket`` is the exponent of the length. It also leads the sequence id, so
     sequences in order of their ids come bucket by bucket.
     """
@@ -47,7 +57,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(tokenizer_path)
+        words = tokenizer(tokenizer_path, cached_words)
         task = TaskContext.get().partitionId() << 32
         made = 0
         for block in common.blocks(batches):

@@ -101,6 +101,6 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker and file."""
-    return WordTokenizer(path)
+def tokenizer(path: str, most_words: int = 700_000) -> WordTokenizer:
+    """One per Python worker, file and size of the cache."""
+    return WordTokenizer(path, most_words)
