@@ -14,6 +14,10 @@ from adperf.llm.queries import WORD_BPE
 from adperf.session import materialize
 
 
+#: Idle Python workers stay beside later stages, so their word caches are kept smaller than where packing runs alone.
+CACHED_WORDS = 200_000
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language is rejected: no letters, or far from all that the labels teach."""
     return language_id.keep_languages(docs, language_id.fit(docs, F.lit(True)))
@@ -36,7 +40,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents by sequence."""
-    return packing.pack(docs, WORD_BPE)
+    return packing.pack(docs, WORD_BPE, cached_words=CACHED_WORDS)
 
 
 STAGES = [
