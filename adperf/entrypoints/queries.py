@@ -22,7 +22,7 @@ from ..plans import (
     features, lifecycle, monitoring, predictions, quality, questions, registry, scoring, training,
 )
 from ..schemas import GRAIN
-from ..session import checkpoint_dir, materialize
+from ..session import checkpoint_dir, materialize, split_hot_keys
 from ..sources import events, order_lines
 from ..sources.tables import create_database
 
@@ -142,6 +142,10 @@ def impressions(spark, sf_dir):
     return rounded(_raw(spark, sf_dir))
 
 
+def raw_campaigns(spark, sf_dir):
+    return rounded(events.campaigns(_raw(spark, sf_dir)))
+
+
 def silver_impressions(spark, sf_dir):
     return rounded(_silver(spark, sf_dir))
 
@@ -159,6 +163,7 @@ def campaign_daily_from_segments(spark, sf_dir):
 
 
 def order_line_segment_daily(spark, sf_dir):
+    split_hot_keys(spark)
     silver = layers.silver_impressions(
         order_lines.impressions(spark, sf_dir), order_lines.DRIFT_START, order_lines.DRIFT_BRANDS
     )
@@ -446,6 +451,7 @@ def queries() -> dict[str, Query]:
     """All named queries."""
     return {
         "impressions": impressions,
+        "raw_campaigns": raw_campaigns,
         "silver_impressions": silver_impressions,
         "segment_ctr_daily": segment_ctr_daily,
         "campaign_daily": campaign_daily,

@@ -304,6 +304,12 @@ def oracle_sql() -> dict[str, str]:
     pairs = ", ".join(f"('{d}', {n})" for d in ["overall", *DIMENSIONS] for n in (1, 7, 28))
     return {
         "impressions": _with(IMPRESSIONS, f"SELECT {IMPRESSION_SELECT} FROM imp"),
+        "raw_campaigns": _with(
+            IMPRESSIONS,
+            "SELECT campaign_id, campaign_name, channel, objective, round(avg(cost_usd), 6) + 0.0 AS base_bid_usd, "
+            "CAST(min(event_date) AS VARCHAR) AS launch_date FROM imp "
+            "GROUP BY campaign_id, campaign_name, channel, objective",
+        ),
         "silver_impressions": _with(
             SILVER,
             f"SELECT {IMPRESSION_SELECT}, event_week, round(revenue_usd, 6) + 0.0 AS revenue_usd, "

@@ -31,6 +31,7 @@ METRICS = "gold_model_monitoring_metrics"
 DECISIONS = "model_retrain_decisions"
 RUNS = "training_runs"
 
+# The fields of the jobs' results.
 SUMMARY_SCHEMA = (
     "model_name string, candidate_version int, promoted boolean, promotion_reason string, "
     "candidate_drift_rmse double, incumbent_drift_rmse double, feature_set string, "
@@ -82,20 +83,20 @@ def run_monitor(
     config: MonitorConfig = MonitorConfig(),
     policy: RetrainPolicy = RetrainPolicy(),
 ) -> DataFrame:
-    """Write the metrics, decide from what was written, append the decision, and return it."""
+    """Write the metrics, decide from what was written, append the decision, and return it.
+
+    A run for an instant that the log has already adds nothing and returns what was decided then.
+    """
     stamp = F.lit(as_utc(now)).cast("timestamp")
     metrics = monitoring_metrics(spark.table(f"{database}.{PREDICTIONS}"), config, stamp)
     replace_table(metrics, f"{database}.{METRICS}", "Accuracy of the live model per slice and window")
-    decision = retrain_decisions(
-        spark.table(f"{database}.{METRICS}"),
-        policy,
-        now,
-        log=optional_table(spark, f"{database}.{DECISIONS}"),
-        slices=overall_slice(spark),
-    )
-    append_table(decision, f"{database}.{DECISIONS}")
-    log = spark.table(f"{database}.{DECISIONS}")
-    return log.where(F.col("evaluated_at") == stamp)
+    log = optional_table(spark, f"{database}.{DECISIONS}")
+    if log is None or log.where(F.col("evaluated_at") == stamp).isEmpty():
+        decision = retrain_decisions(
+            spark.table(f"{database}.{METRICS}"), policy, now, log=log, slices=overall_slice(spark)
+        )
+        append_table(decision, f"{database}.{DECISIONS}")
+    return spark.table(f"{database}.{DECISIONS}").where(F.col("evaluated_at") == stamp)
 
 
 def _save(trained: Trained, artifacts: str) -> str:

@@ -13,11 +13,6 @@ from .predictions import prior_as_stale, with_gaps
 # Fixed value: predicted rates lie between 0 and this.
 MAX_CTR = 0.15
 
-FRAME = [
-    "event_date", "channel", "device", "country", "visitor_type", "campaign_id", "campaign_name",
-    "objective", "impressions", "spend_usd", "actual_ctr", "day_of_week", "is_drift_window", "is_drift_segment",
-]
-
 
 def predict(frame: DataFrame, model: PipelineModel, output: str, upper: float = MAX_CTR) -> DataFrame:
     """Add a model's clamped prediction; the encoder's columns do not stay."""

@@ -11,25 +11,6 @@ RAW_IMPRESSIONS = (
     "hour_of_day int, day_of_week int, clicked int, converted int, cost_usd double, "
     "conversion_value_usd double"
 )
-PREDICTIONS = (
-    "event_date date, channel string, device string, country string, visitor_type string, "
-    "campaign_id string, campaign_name string, objective string, impressions bigint, spend_usd double, "
-    "actual_ctr double, predicted_ctr_stale double, predicted_ctr_champion double, "
-    "ctr_gap_stale double, ctr_gap_champion double, is_drift_window boolean, "
-    "is_drift_segment boolean, model_version_champion string, predicted_at timestamp"
-)
-MONITORING_METRICS = (
-    "metric_date date, window_days int, dimension_name string, dimension_value string, "
-    "model_version string, actual_ctr double, predicted_ctr double, weighted_rmse double, "
-    "weighted_mae double, signed_bias double, absolute_ctr_gap double, baseline_rmse double, "
-    "rmse_change_pct double, drift_status string, observation_count bigint, impressions bigint, "
-    "computed_at timestamp"
-)
-RETRAIN_DECISIONS = (
-    "metric_date string, weighted_rmse double, baseline_rmse double, rmse_change_pct double, "
-    "impressions bigint, should_retrain boolean, reason string, evaluated_at timestamp, "
-    "dimension_name string, dimension_value string, model_version string"
-)
 
 # The grain of a segment-day row.
 GRAIN = ["event_date", "channel", "device", "country", "visitor_type", "campaign_id"]

@@ -39,6 +39,12 @@ def build_session(app: str = "adperf", master: str | None = None, conf: dict | N
     return builder.getOrCreate()
 
 
+def split_hot_keys(spark: SparkSession) -> None:
+    """Let joins split a hot key in a session that somebody else made, too."""
+    for key in ("spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(key, DEFAULTS[key])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: what the session names, else a scratch folder in local mode."""
     sc = spark.sparkContext

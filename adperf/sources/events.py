@@ -6,9 +6,11 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import dow_sun0
 from ..operators.bands import band_label, broadcast_band_join
+from ..schemas import RAW_CAMPAIGNS
 from .tables import literal_rows
 
 # Where the drift begins and which campaigns it hits.
@@ -150,3 +152,11 @@ def impressions(
         F.round(F.col("value") * 0.01, 5).alias("cost_usd"),
         F.when(converted, F.round("value", 2)).otherwise(F.lit(0.0)).alias("conversion_value_usd"),
     )
+
+
+def campaigns(impressions: DataFrame) -> DataFrame:
+    """One row per campaign: the average cost of an impression as its bid, its first day as the launch."""
+    seen = impressions.groupBy("campaign_id", "campaign_name", "channel", "objective").agg(
+        F.avg("cost_usd").alias("base_bid_usd"), F.min("event_date").cast("string").alias("launch_date")
+    )
+    return seen.to(T.StructType.fromDDL(RAW_CAMPAIGNS))

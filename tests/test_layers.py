@@ -11,6 +11,7 @@ from adperf.operators import filters, layers
 from adperf.plans import predictions, quality, questions
 from adperf.plans.monitoring import MonitorConfig
 from adperf.schemas import RAW_IMPRESSIONS
+from adperf.sources import events
 
 START = date(2024, 1, 8)
 
@@ -156,3 +157,23 @@ def test_gap_and_mix_checks(silver, predicted):
     got = checks(quality.mix_shift(campaigns, ["Search"]))
     assert got["mix_share_before"] == (0.0, True)
     assert got["mix_share_after"] == (pytest.approx(1 / 3), True)
+
+
+def test_events_without_fields_are_kept_as_unknown(spark, tmp_path):
+    day = datetime(2024, 1, 22, 5)
+    rows = [
+        (1, day, 7, "click", '{"k": 3}', 1.0), (2, day, None, "click", '{"k": 3}', 1.0),
+        (3, day, 7, "view", "{}", 1.0), (4, day, 7, "view", None, 1.0), (5, day, 7, "click", '{"k": "x"}', 1.0),
+    ]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string, value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    kept = {r["impression_id"][-1]: r for r in events.impressions(spark, str(tmp_path)).collect()}
+    assert len(kept) == 5
+    assert kept["1"]["campaign_id"] == "CMP-004" and kept["1"]["clicked"] == 1
+    assert (kept["2"]["campaign_id"], kept["2"]["country"], kept["2"]["visitor_type"]) == ("CMP-004", "Unknown", "Unknown")
+    assert all(kept[i]["campaign_id"] == kept[i]["channel"] == kept[i]["country"] == "Unknown" for i in "345")
+    names = ["device", "country", "visitor_type"]
+    looked_up = events.join_visitor_bands(events.keyed_events(spark, str(tmp_path))).collect()
+    assert {str(r["event_id"]): [r[n] for n in names] for r in looked_up} == {i: [r[n] for n in names] for i, r in kept.items()}
+    lossy = events.impressions(spark, str(tmp_path), click_loss=events.CLICK_LOSS)
+    assert lossy.agg({"clicked": "sum"}).first()[0] == 1

@@ -86,7 +86,7 @@ def test_jobs_end_to_end(spark, sf_dir):
     assert scored.where("predicted_ctr_champion NOT BETWEEN 0 AND 1 OR predicted_ctr_stale IS NULL").count() == 0
 
     policy = RetrainPolicy(minimum_impressions=1)
-    for now in times[1:3]:
+    for now in (times[1], times[2], times[2]):
         decision = lifecycle.run_monitor(spark, database, now, policy=policy).collect()
         assert len(decision) == 1 and decision[0]["reason"]
     log = spark.table(f"{database}.{lifecycle.DECISIONS}")
