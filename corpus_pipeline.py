@@ -14,6 +14,8 @@ from adperf.llm.queries import WORD_BPE
 from adperf.session import materialize
 
 
+#: Near copies share that many percent of their shingles of so many words; op4 has values of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Idle Python workers stay beside later stages, so their word caches are kept smaller than where packing runs alone.
 CACHED_WORDS = 200_000
 
@@ -25,7 +27,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 from adperf.llm import common, queries
@@ -60,3 +61,40 @@ def test_all_operators_are_registered():
 
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
     assert set(queries.queries()) | {"pipeline"} <= set(driver.queries())
+
+
+def five_word_groups(rows):
+    """Groups by links of a 5-word Jaccard of 0.8 at least, pair by pair; the smallest id of each."""
+    sets = {k: test_jaccard_join.shingles(t, 5) for k, t in rows}
+    lead = {k: k for k in sets}
+
+    def root(k):
+        while lead[k] != k:
+            k = lead[k]
+        return k
+
+    for a, b in combinations(sorted(sets), 2):
+        shared = len(sets[a] & sets[b])
+        if shared and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+            one, two = sorted((root(a), root(b)))
+            lead[two] = one
+    return {root(k) for k in sets}
+
+
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark, sf_dir):
+    rows = []
+    for base, (size, changed) in enumerate([(100, (30, 70)), (150, (30, 70, 110)), (200, (30, 70, 110, 150)), (100, (20, 50, 80))]):
+        words = [f"w{base}x{k}" for k in range(size)]
+        rows.append((100 + 10 * base, " ".join(words)))
+        rows.append((101 + 10 * base, " ".join(f"new{k}" if k in changed else w for k, w in enumerate(words))))
+    assert {k for k, _, c in test_jaccard_join.brute(rows) if k == c} == {k for k, _ in rows}
+    docs = odd_documents(spark, [(k, t, None, None) for k, t in rows]).where("doc_id >= 100")
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(five_word_groups(rows)) == [100, 110, 120, 130, 131]
+
+
+def test_near_copies_of_the_given_documents(spark, sf_dir):
+    docs = common.read(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir)
+    assert {r.doc_id for r in kept.collect()} == five_word_groups(rows)
