@@ -194,6 +194,8 @@ def _compare_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("range", "doc_id", "text", "copy"))
         for key, doc_id, text, copy in zip(*columns):
+            if held and held[-1][0] != key:
+                raise ValueError(f"range {held[-1][0]} has no copy of the document that follows it")
             if copy:
                 if held:  # the first copy ends the range; more of them are rows with the same id
                     yield result(held, text)
@@ -204,6 +206,21 @@ def _compare_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 held, size = [], 0
             held.append((key, doc_id, text))
             size += len(text)
+    if held:
+        raise ValueError(f"range {held[-1][0]} has no copy of the document that follows it")
+
+
+def _highest_of(steps: np.ndarray):
+    """The highest key of each range of a batch; a range goes up to its step, the last one has none."""
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.sort(batch.column("key").to_numpy())
+            number = np.searchsorted(steps, keys)
+            last = np.flatnonzero(np.append(number[1:] != number[:-1], True)) if len(keys) else number
+            yield pa.RecordBatch.from_arrays([pa.array(number[last].astype(np.int32)), pa.array(keys[last])], ["range", "key"])
+
+    return highest
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -213,12 +230,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     read = common.texts(docs, key.alias("key")).withColumn("doc_id", F.col("doc_id").cast("long"))
     ranges = 4 * common.shuffle_parts(spark)
     ids = read.select("key")
-    highest = ids.agg(F.max("key")).first()[0]
-    if highest is None:
+    if ids.first() is None:
         return spark.createDataFrame([], RESULT)
     steps = ids.approxQuantile("key", [(k + 1) / ranges for k in range(ranges - 1)], 1 / (4 * ranges))
-    # Each bound is an id that exists, and the first one of its range in falling order.
-    bounds = np.array(sorted({int(s) for s in steps} | {highest}), np.int64)
+    # Quantiles are doubles, which are no ids above 2^53; each bound is an id that exists, the first of its range in falling order.
+    steps = np.array(sorted({min(int(s), (1 << 63) - 1) for s in steps}), np.int64)
+    highest = ids.mapInArrow(_highest_of(steps), "range int, key long").groupBy("range").agg(F.max("key").alias("key"))
+    bounds = np.array(sorted(r["key"] for r in highest.collect()), np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

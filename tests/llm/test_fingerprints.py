@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from adperf.llm import fingerprints, queries
 from tests.llm.odd import empty_documents, odd_documents
@@ -68,3 +70,20 @@ def test_peeling_recovers_any_number_of_digests():
     base = lambda many: fingerprints.sketches(many, np.full(len(many), fingerprints.SLOTS))
     found = fingerprints.differing(sets, other, base(sets), base(other), np.arange(len(sets)))
     assert found.tolist() == [len(s) - len(s) // 2 for s in sets]
+
+
+def test_ids_that_are_no_doubles(spark):
+    dealt = random.Random(7)
+    high = (1 << 63) - 1
+    keys = [*(dealt.randrange(-(1 << 63) + 1, high) for _ in range(150)), high, high - 1, high - 1, *range((1 << 60) + 1, (1 << 60) + 150)]
+    rows = [(k, f"text of {dealt.random()}\nand {dealt.random()}", None, None) for k in keys]
+    docs = odd_documents(spark, rows)
+    assert result(fingerprints.fingerprints(docs).collect()) == brute(
+        sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[1] or "")
+    )
+
+
+def test_rows_still_held_are_an_error():
+    batch = pa.RecordBatch.from_pydict({"range": [0, 0], "doc_id": [2, 1], "text": ["a", "b"], "copy": [0, 0]})
+    with pytest.raises(ValueError):
+        list(fingerprints._compare_in_order(iter([batch])))
