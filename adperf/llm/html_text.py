@@ -44,6 +44,8 @@ DROPPED = frozenset(
     "script style noscript template svg math iframe object embed canvas audio video head title button select option "
     "textarea datalist map".split()
 )
+#: What can stand in a head; anything else ends an open one, as its end tag may be left out.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
@@ -112,6 +114,8 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            if not closing and name not in HEAD:
+                self._end_head(name)
             if closing:
                 self._close(name)
             elif name in RAW and not attributes.endswith("/"):
@@ -122,6 +126,8 @@ class Page:
         self._flush()
 
     def _say(self, text: str) -> None:
+        if self._dropped and text.strip(" \t\n\f\r"):
+            self._end_head("#text")
         if text and not self._dropped:
             self._run.append(text)
             if self._links:
@@ -147,7 +153,18 @@ class Page:
         self.look.append(look)
         return len(self.tag) - 1
 
+    def _end_head(self, name: str) -> None:
+        """End a head that the element or text would stand in; ``body`` also ends what is open in the head."""
+        if self._open[-1][0] == "head":
+            self._cut(len(self._open) - 1)
+        elif name == "body" and self._dropped:
+            for k in range(len(self._open) - 1, 0, -1):
+                if self._open[k][0] == "head":
+                    self._cut(k)
+
     def _start(self, name: str, attributes: str) -> None:
+        if name == "head" and any(n == "head" for n, _ in self._open):
+            return
         if name == "br" or name == "wbr":
             if name == "br" and not self._dropped:
                 self._run.append(" ")

@@ -4,6 +4,7 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from adperf.llm import common, html_text, queries
 
@@ -77,3 +78,28 @@ def test_marginals_equal_enumeration(model):
     total = sum(weights.values())
     exact = [sum(w for c, w in weights.items() if c >> i & 1) / total for i in range(size)]
     assert model.marginals(page) == pytest.approx(exact, abs=1e-6)
+
+
+@pytest.mark.parametrize("head", [
+    "<head><meta charset=utf-8><title>The title</title><style>p {}</style><body>",
+    "<head><title>The title</title><script>var a</script>",
+    "<head><title>The title</title></head><body>",
+    "<head><title>The title</title><noframes><p>Old browser.</p></noframes><link rel=x><body class=a>",
+    "<head><head><title>The title</title></head>",
+    "<head><title>The title</title><noframes>Old browser.<body>",
+])
+def test_an_end_of_head_may_be_left_out(model, head):
+    page = f"<!DOCTYPE html><html>{head}<article><h1>T</h1><p>{LONG}</p><p>{LONG * 2}</p></article></html>"
+    assert html_text.extract(model, page) == f"T\n{LONG.strip()}\n{(LONG * 2).strip()}"
+
+
+def test_given_pages_without_their_ends_of_head(spark, sf_dir):
+    pages = common.read(spark, sf_dir, "pages")
+    cut = pages.withColumn("html", F.regexp_replace("html", "(?i)</head>", ""))
+    assert cut.where(F.lower("html").contains("<head")).count() > 0
+    whole = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    assert {r.page_id: r.text for r in html_text.main_texts(cut).collect()} == whole
+
+
+def test_text_in_a_head_ends_it():
+    assert html_text.Page("<head><title>t</title>\n Plain text.").text[1:] == ["Plain text."]
