@@ -49,6 +49,16 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose digests make one range.
+RANGE_BYTES = 16 << 20
+
+
+def range_parts(texts: DataFrame) -> int:
+    """Number of digest ranges: as many as shuffle partitions, and more where a range would get more than its share."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(shuffle_parts(texts.sparkSession), -(-size // RANGE_BYTES))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows in blocks of about ``most`` bytes of text, so that memory follows the block and not the batch."""
     held, size = [], 0

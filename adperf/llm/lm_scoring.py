@@ -196,9 +196,8 @@ def _score(tokens: int, types: int, strength: float):
 
 def lm_scores(docs: DataFrame, held_out, strength: float = 1000.0) -> DataFrame:
     """One row per document, learned from those whose ``held_out`` is false."""
-    spark = docs.sparkSession
-    parts = common.shuffle_parts(spark)
     read = common.texts(docs, held_out.alias("held_out")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    parts = common.range_parts(read)
     sent = materialize(read.mapInArrow(_blocks, "block long, part int, kind int, payload binary"))
     asked = sent.mapInArrow(_send(parts), "block long, part int, kind int, payload binary, counts binary")
     answered = materialize(

@@ -114,8 +114,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens``."""
-    parts = common.shuffle_parts(docs.sparkSession)
     read = common.texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    parts = common.range_parts(read)
     sent = materialize(read.mapInArrow(_send(tokenizer_path, parts), SENT))
     answers = (
         sent.where(F.col("part") >= 0).repartition(parts, "part").sortWithinPartitions("part")

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from adperf.llm import common, lm_scoring, queries
 from tests.llm.odd import empty_documents, odd_documents
@@ -76,3 +77,16 @@ def test_arcs_of_a_state_add_up_to_one():
         sum(10 ** made.root[w] for w in range(len(words)) if words[w] and w not in seen) + 1 / (tokens + types + 1)
     )
     assert total == pytest.approx(1.0)
+
+
+def test_many_blocks_in_each_of_many_ranges(spark, sf_dir, monkeypatch):
+    docs = common.read(spark, sf_dir, "documents").repartition(30, "doc_id")
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0]
+    assert common.range_parts(common.texts(docs)) == common.shuffle_parts(spark)
+    monkeypatch.setattr(common, "RANGE_BYTES", size // 40)
+    assert 40 <= common.range_parts(common.texts(docs)) <= 41
+    made, ranges = lm_scoring._send, []
+    monkeypatch.setattr(lm_scoring, "_send", lambda parts: ranges.append(parts) or made(parts))
+    got = result(lm_scoring.lm_scores(docs, common.remainder("doc_id", 7) == 2))
+    assert 40 <= ranges[0] <= 41
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])

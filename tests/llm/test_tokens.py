@@ -89,3 +89,14 @@ def test_blocks_split_by_bytes(spark):
     made = [b.column("text").to_pylist() for b in common.blocks(iter([batch, batch.slice(0, 0), batch]), 60)]
     assert [t for b in made for t in b] == batch.column("text").to_pylist() * 2
     assert all(len(b) == 1 or sum(map(len, b)) <= 60 for b in made)
+
+
+def test_token_counts_of_many_blocks_in_each_of_many_ranges(spark, sf_dir, library, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_BYTES", 16 << 10)
+    docs = common.read(spark, sf_dir, "documents").repartition(30, "doc_id")
+    made, ranges = token_counts._send, []
+    monkeypatch.setattr(token_counts, "_send", lambda path, parts: ranges.append(parts) or made(path, parts))
+    rows = token_counts.token_counts(docs, queries.WORD_BPE).collect()
+    assert ranges[0] > 4 * common.shuffle_parts(spark)
+    want = Counter((r.doc_id, len((r.text or "").encode()), len(ids(library, r.text))) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == want
