@@ -358,6 +358,11 @@ def groups(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
 def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: ``doc_id, row_key, n_shingles, component_id``."""
+    return _labelled(docs, words, percent).drop("label")
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """As ``components``, with the ``label`` of the document's group; it is NULL without shingles."""
     spark = docs.sparkSession
     parts = common.shuffle_parts(spark)
     read = common.texts(docs, common.row_key().alias("row_key")).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -414,22 +419,30 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     )
     grouped = materialize(grouped)
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(smallest, "label").select("class", "component_id", F.lit(True).alias("named"))
+    named = grouped.join(smallest, "label").select("class", "component_id", "label")
     return own.join(named, "class", "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"),
-        F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("label").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label",
     )
 
 
 def one_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """The documents without those that another one of their group stands for, with their own columns.
 
-    The smallest id of a group stays; of rows with that id, one. Only ids and digests are joined, not texts.
+    The smallest id of a group stays, NULL ids last; of rows with that id, the one with the smallest digest. Only ids and
+    digests are joined, not texts.
     """
-    found = materialize(components(docs, words, percent))
-    gone = materialize(found.where(
-        (F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ).select(F.col("row_key").alias("__gone")).distinct())
+    found = materialize(_labelled(docs, words, percent))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    stays = materialize(
+        found.where(F.col("label").isNotNull()).groupBy("label")
+        .agg(F.min_by("row_key", first).alias("stays"), (F.min("row_key") != F.max("row_key")).alias("many"))
+        .where("many").select("label", "stays")
+    )
+    gone = materialize(
+        found.join(common.broadcast_if_small(stays, F.lit(16)), "label").where(F.col("row_key") != F.col("stays"))
+        .select(F.col("row_key").alias("__gone")).distinct()
+    )
     keyed = docs.withColumn("__row", common.row_key())
     kept = keyed.join(common.broadcast_if_small(gone, F.lit(8)), F.col("__row") == F.col("__gone"), "left_anti")
     again = materialize(

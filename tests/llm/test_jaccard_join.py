@@ -97,3 +97,22 @@ def test_tree_loses_no_pair(count):
         shared = np.minimum(points[i], points[i + 1 :]).sum(axis=1)
         want = np.flatnonzero(185 * shared >= 85 * (size[i] + size[i + 1 :])) + i + 1
         assert all((i, int(j)) in found for j in want)
+
+
+def test_one_row_of_a_group_stays_whatever_the_ids(spark):
+    def versions(name, count):
+        words = [f"{name}{k}" for k in range(200)]
+        return [" ".join([*words[:100], f"other{v}", *words[101:]]) for v in range(count)]
+
+    rows = [
+        *[(None, t, None, None) for t in versions("a", 3)],
+        *[(50, t, None, None) for t in versions("b", 3)],
+        *[(k, t, None, None) for k, t in zip((None, 62, 61, 61), versions("c", 4))],
+        *[(70, t, None, None) for t in versions("d", 1) * 2],
+        (None, None, None, None), (None, "", None, None),
+    ]
+    docs = odd_documents(spark, rows).where("coalesce(doc_id, 50) >= 50 and coalesce(text, '') <> 'no id'")
+    assert docs.count() == len(rows)
+    kept = jaccard_join.one_of_each(docs).collect()
+    assert Counter((r.doc_id, r.text.split()[0][0]) for r in kept if r.text) == Counter([(None, "a"), (50, "b"), (61, "c"), (70, "d")])
+    assert sum(not r.text for r in kept) == 2
