@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    common, decontamination, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, pii, token_counts, url_filters,
+    common, decontamination, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, pii,
+    suffix_dedup, token_counts, url_filters,
 )
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +61,17 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.contamination(docs, benchmark)
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.without_repeats(common.read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -72,8 +84,9 @@ def queries():
         "op8_token_counts": op8_token_counts,
         "op9_html_text": op9_html_text,
         "op10_decontamination": op10_decontamination,
+        "op11_suffix_dedup": op11_suffix_dedup,
     }
 
 
 def oracle_sql():
-    return {"op7_url_filters": url_filters.SQL}
+    return {"op7_url_filters": url_filters.SQL, "op11_suffix_dedup": suffix_dedup.SQL}
