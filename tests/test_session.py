@@ -32,3 +32,15 @@ def test_a_cluster_needs_a_shared_folder():
 
 def test_local_mode_gets_a_scratch_folder():
     assert "adperf-checkpoint-" in session.checkpoint_dir(fake("local[2]"))
+
+
+def test_stored_tables_can_be_discarded_and_leave_the_settings_alone(spark):
+    before = spark.conf.get(session.CLEANUP)
+    table = session.materialize(spark.range(10).repartition(3).groupBy("id").count())
+    assert table.count() == 10
+    assert spark.conf.get(session.CLEANUP) == before
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    session.discard(table)
+    assert not files.exists(path)
