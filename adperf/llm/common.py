@@ -135,6 +135,27 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[di
         yield held
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows that come sorted by ``key`` in batches of ``least`` rows or more that no run of a key crosses."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        keys = batch.column(key)
+        if size < least or (keys[0].equals(keys[batch.num_rows - 1]) and len(held) > 1):
+            continue
+        whole = pa.concat_batches(held)
+        values = whole.column(key).to_numpy()
+        cut = int(np.searchsorted(values, values[-1], "left"))
+        if cut:
+            yield whole.slice(0, cut)
+        held, size = [whole.slice(cut)], whole.num_rows - cut
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: Most bytes of strings that are sent to every executor; larger tables are joined by a shuffle.
 BROADCAST_BYTES = 4 << 20
 

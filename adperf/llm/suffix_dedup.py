@@ -14,7 +14,8 @@ document with a smaller id. Texts are taken as UTF-8 bytes, judged on the input.
    by window instead, so that no task holds it whole.
 3. The blocks learn the smallest ids of their pieces and cut the texts.
 
-Rows of texts are shuffled once, by block; a block is a set of rows of bounded size.
+Rows of texts are shuffled by block for each step; a block is a set of rows of bounded
+size. The tables between the steps are stored, which frees the shuffle files before them.
 
 Defined results: a NULL text is an empty one. A NULL id counts as larger than every
 other. Rows with one id don't take anything from each other, repeated rows get the
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adperf.session import discard, materialize
+
 from . import common, hashing, suffix_sort
 
 #: Bytes of an anchor, at most the length of a window.
@@ -160,30 +163,9 @@ def _seen(length: int):
     return seen
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows that come sorted by ``key`` in batches of ``least`` rows or more that no run of a key crosses."""
-    held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        keys = batch.column(key)
-        if size < least or (keys[0].equals(keys[batch.num_rows - 1]) and len(held) > 1):
-            continue
-        whole = pa.concat_batches(held)
-        values = whole.column(key).to_numpy()
-        cut = int(np.searchsorted(values, values[-1], "left"))
-        if cut:
-            yield whole.slice(0, cut)
-        held, size = [whole.slice(cut)], whole.num_rows - cut
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor: those of anchors in several documents."""
-    for rows in whole_runs(batches, "key", 50_000):
+    for rows in common.whole_runs(batches, "key", 50_000):
         keys = rows.column("key").to_numpy()
         begins = np.ones(len(keys), bool)
         begins[1:] = keys[1:] != keys[:-1]
@@ -298,7 +280,7 @@ def _sorted(length: int):
         })
 
     def settle_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_runs(batches, "key", SORTED // 16):
+        for rows in common.whole_runs(batches, "key", SORTED // 16):
             yield settle(rows)
 
     return settle_all
@@ -364,24 +346,29 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if length < 8:
         raise ValueError("windows have eight bytes at least")
     spark = docs.sparkSession
-    texts = common.texts(docs)
+    texts = common.texts(docs).withColumn("digest", F.xxhash64("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = common.shuffle_parts(spark)
     blocks = max(2 * least, -(-size // BLOCK))
     parts = max(least, -(-size // (8 * BLOCK)))
+    # copies share a block, where they count as one; texts that would fill it with copies are dealt by row
+    copies = texts.groupBy("digest").agg((F.count(F.lit(1)) * F.max(F.octet_length("text"))).alias("bytes"))
+    crowded = materialize(copies.where(F.col("bytes") > BLOCK).select("digest", F.lit(True).alias("crowded")))
     row_key = common.row_key()
-    keyed = texts.select(
-        F.pmod(F.xxhash64(row_key), F.lit(blocks)).cast("int").alias("block"),
+    placed = F.when(F.col("crowded"), row_key).otherwise(F.col("digest"))
+    keyed = texts.join(common.broadcast_if_small(crowded, F.lit(8)), "digest", "left").select(
+        F.pmod(F.xxhash64(placed), F.lit(blocks)).cast("int").alias("block"),
         row_key.alias("row_key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
-    ).repartition(parts, "block")
-    by_block = keyed.groupBy("block")
+    )
+    by_block = keyed.repartition(parts, "block").groupBy("block")
     anchors = by_block.applyInArrow(_seen(length), ANCHORS)
-    answers = anchors.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, ANSWERS)
+    answers = materialize(anchors.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, ANSWERS))
     pieces = by_block.cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(_sent(length), PIECES)
-    found = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sorted(length), FOUND)
+    found = materialize(pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sorted(length), FOUND))
+    discard(answers)
     return by_block.cogroup(found.repartition(parts, "block").groupBy("block")).applyInArrow(_cut(length), CUT)
 
 
