@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    common, decontamination, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, pii,
+    common, conversation_trie, decontamination, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, pii,
     suffix_dedup, token_counts, url_filters,
 )
 
@@ -72,6 +72,12 @@ def op11_suffix_dedup(spark, sf_dir):
     )
 
 
+def op12_conversation_trie(spark, sf_dir):
+    seqs = conversation_trie.sequences(common.read(spark, sf_dir, "conversations"))
+    number = F.col("conv_id")
+    return conversation_trie.trie(conversation_trie.rebuilt(seqs, number - number % 5, F.crc32(number.cast("string")) % 9))
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -85,8 +91,13 @@ def queries():
         "op9_html_text": op9_html_text,
         "op10_decontamination": op10_decontamination,
         "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_conversation_trie": op12_conversation_trie,
     }
 
 
 def oracle_sql():
-    return {"op7_url_filters": url_filters.SQL, "op11_suffix_dedup": suffix_dedup.SQL}
+    return {
+        "op7_url_filters": url_filters.SQL,
+        "op11_suffix_dedup": suffix_dedup.SQL,
+        "op12_conversation_trie": conversation_trie.SQL,
+    }
