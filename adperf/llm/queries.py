@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    common, conversation_trie, decontamination, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, pii,
+    collocations, common, conversation_trie, decontamination, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, pii,
     suffix_dedup, token_counts, url_filters,
 )
 
@@ -78,6 +78,10 @@ def op12_conversation_trie(spark, sf_dir):
     return conversation_trie.trie(conversation_trie.rebuilt(seqs, number - number % 5, F.crc32(number.cast("string")) % 9))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(common.read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -92,6 +96,7 @@ def queries():
         "op10_decontamination": op10_decontamination,
         "op11_suffix_dedup": op11_suffix_dedup,
         "op12_conversation_trie": op12_conversation_trie,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -100,4 +105,5 @@ def oracle_sql():
         "op7_url_filters": url_filters.SQL,
         "op11_suffix_dedup": suffix_dedup.SQL,
         "op12_conversation_trie": conversation_trie.SQL,
+        "op13_collocations": collocations.SQL,
     }
