@@ -4,7 +4,7 @@ The corpus is encoded once into blocks of numbered words, dealt to ``shards``.
 Scans go round the shards, all lengths at a time: words are counted in the first
 round; a pair is counted in every shard that is scanned after both of its words
 were seen ``least`` times, and a triple in every shard that is scanned after both
-of its pairs were and the shard knows them. Each phrase stops after one full round
+of its pairs were and the shard knows them (it is told at the start of each round). Each phrase stops after one full round
 of its own, so late starters are finished in a later round. A block gets to know
 what became frequent from tables joined by digest, one row for each distinct phrase
 of a block; no vocabulary is sent to all tasks.
@@ -38,8 +38,8 @@ BLOCK, PART = 16 << 20, 2 << 20
 SALTS = 64
 
 BLOCKS = "block long, stream binary, digests array<long>, words array<string>, langs array<string>, counts array<long>"
-COUNTED = "level int, a long, b long, c long, block long, at int, count long"
-SETTLED = "a long, block long, at int, since int, speaks boolean, total long"
+COUNTED = "level int, a long, b long, c long, block long, count long"
+SETTLED = "a long, block long, since int, speaks boolean, total long"
 
 # What ends a piece, what parts words.
 BREAKS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -125,9 +125,9 @@ def _scan(step: int, shards: int):
     def scan(blocks: pa.Table, told: pa.Table) -> pa.Table:
         ids = np.frombuffer(zstandard.decompress(blocks.column("stream")[0].as_py()), np.uint32).astype(np.int64)
         digests = blocks.column("digests").combine_chunks().values.to_numpy().view(np.uint64)
-        kind, at, since = (told.column(c).to_numpy() for c in ("kind", "at", "since"))
+        kind, what, since = (told.column(c).to_numpy() for c in ("kind", "what", "since"))
         frequent = np.full(len(digests) + 1, _NEVER)
-        frequent[at[kind == 1] + 1] = since[kind == 1]
+        frequent[what[kind == 1] + 1] = since[kind == 1]
         wide = len(digests) + 1
         left, right = ids[:-1], ids[1:]
         place = np.flatnonzero((np.maximum(frequent[left], frequent[right]) < step) & (left > 0) & (right > 0))
@@ -135,32 +135,31 @@ def _scan(step: int, shards: int):
         code = left[place] * wide + right[place]
         out = []
 
-        fresh = asked == step
-        found, first, counts = np.unique(code[fresh], return_index=True, return_counts=True)
-        pair = _pair(digests, found, wide)
-        out.append((2, pair, None, None, place[fresh][first], counts))
+        found, counts = np.unique(code[asked == step], return_counts=True)
+        out.append((2, _pair(digests, found, wide), None, None, counts))
 
         mine = kind == 2
         if mine.any():
-            spot = at[mine].astype(np.int64)
-            known = ids[spot] * wide + ids[spot + 1]
-            order = np.argsort(known)
-            known, wait, speaks = known[order], since[mine][order].astype(np.int64), told.column("speaks").to_numpy(zero_copy_only=False)[mine][order]
-            which = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            hit = known[which] == code
-            starts = np.maximum(asked[hit] + shards, _next_scan(wait[which[hit]], shard, shards))
-            place, which = place[hit], which[hit]
+            order = np.argsort(what[mine])
+            known, wait = what[mine][order], since[mine][order].astype(np.int64)
+            speaks = told.column("speaks").to_numpy(zero_copy_only=False)[mine][order]
+            pair = _pair(digests, code, wide)
+            which = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+            hit = known[which] == pair
+            place, code, which = place[hit], code[hit], which[hit]
+            # a pair is told from the round after it became frequent, to blocks that had asked before
+            starts = np.maximum(asked[hit] + shards, (wait[which] // shards + 1) * shards + shard)
             # pairs that this block has to spell out, once each
-            spoken = np.unique(which[(starts == step) & speaks[which]])
+            spoken, first = np.unique(np.where((starts == step) & speaks[which], which, -1), return_index=True)
+            first = first[spoken >= 0]
             words = digests.view(np.int64)
-            x, y = known[spoken] // wide - 1, known[spoken] % wide - 1
-            out.append((1, _pair(digests, known[spoken], wide), words[x], words[y], None, np.zeros(len(spoken), np.int64)))
+            x, y = code[first] // wide - 1, code[first] % wide - 1
+            out.append((1, known[which[first]], words[x], words[y], np.zeros(len(first), np.int64)))
             # triples: two known pairs one word apart
             after = np.flatnonzero(place[1:] == place[:-1] + 1)
             now = after[np.maximum(starts[after], starts[after + 1]) == step]
             triple, counts = np.unique(which[now] * len(known) + which[now + 1], return_counts=True)
-            pairs = _pair(digests, known, wide)
-            out.append((3, pairs[triple // len(known)], pairs[triple % len(known)], None, None, counts))
+            out.append((3, known[triple // len(known)], known[triple % len(known)], None, counts))
         number = blocks.column("block")[0].as_py()
         common.give_back()
         return pa.concat_tables([_counted(number, *part) for part in out])
@@ -173,12 +172,12 @@ def _pair(digests: np.ndarray, code: np.ndarray, wide: int) -> np.ndarray:
     return common.mix(x * np.uint64(0xA24BAED4963EE407) + common.mix(y)).view(np.int64)
 
 
-def _counted(block: int, level: int, a, b, c, at, count) -> pa.Table:
+def _counted(block: int, level: int, a, b, c, count) -> pa.Table:
     n = len(a)
     column = lambda values, kind: pa.nulls(n, kind) if values is None else pa.array(values, kind)
     return pa.table({
         "level": np.full(n, level, np.int32), "a": pa.array(a, pa.int64()), "b": column(b, pa.int64()), "c": column(c, pa.int64()),
-        "block": np.full(n, block, np.int64), "at": column(at, pa.int32()), "count": pa.array(count, pa.int64()),
+        "block": np.full(n, block, np.int64), "count": pa.array(count, pa.int64()),
     })
 
 
@@ -199,8 +198,7 @@ def _settle(least: int):
             since = np.minimum.reduceat(np.where(so_far >= least, step, np.iinfo(np.int32).max), starts)
             keep = total[run] >= least
             yield pa.record_batch({
-                "a": a[keep], "block": block[keep], "at": rows.column("at").to_numpy()[order][keep],
-                "since": since[run][keep].astype(np.int32), "speaks": begins[keep], "total": total[run][keep],
+                "a": a[keep], "block": block[keep], "since": since[run][keep].astype(np.int32), "speaks": begins[keep], "total": total[run][keep],
             })
 
     return settle
@@ -225,7 +223,7 @@ def counted(docs: DataFrame, least: int = 10, shards: int = 2) -> tuple[DataFram
     blocks = materialize(texts.mapInArrow(_encode(shards), BLOCKS))
     parts = common.shuffle_parts(spark)
     words = settled = None
-    scans, asks, stale = [], [], False
+    scans, asks = [], []
     for step in range(3 * shards):
         shard = step % shards
         here = blocks.where(F.col("block") % shards == shard)
@@ -233,20 +231,20 @@ def counted(docs: DataFrame, least: int = 10, shards: int = 2) -> tuple[DataFram
             entries = here.select("block", F.posexplode("digests").alias("at", "word"))
             known = words.where(F.col("since").isNotNull()).select("word", "since")
             told = entries.join(known, "word").select(
-                F.col("block").alias("to"), F.lit(1).alias("kind"), "at", "since", F.lit(False).alias("speaks")
+                F.col("block").alias("to"), F.lit(1).alias("kind"), F.col("at").cast("long").alias("what"), "since",
+                F.lit(False).alias("speaks"),
             )
-            if step > shards:
-                if stale:
-                    old, stale = settled, False
-                    every = asks[0]
-                    for more in asks[1:]:
-                        every = every.unionByName(more)
-                    settled = materialize(every.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_settle(least), SETTLED))
-                    if old is not None:
-                        discard(old)
+            if shard == 0 and asks:  # a new round: what has become frequent so far
+                if settled is not None:
+                    discard(settled)
+                every = asks[0]
+                for more in asks[1:]:
+                    every = every.unionByName(more)
+                settled = materialize(every.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_settle(least), SETTLED))
+            if settled is not None:
                 told = told.unionByName(
-                    settled.where((F.col("block") % shards == shard) & (F.col("since") < step))
-                    .select(F.col("block").alias("to"), F.lit(2).alias("kind"), "at", "since", "speaks")
+                    settled.where(F.col("block") % shards == shard)
+                    .select(F.col("block").alias("to"), F.lit(2).alias("kind"), F.col("a").alias("what"), "since", "speaks")
                 )
             streams = here.select("block", "stream", "digests").repartition(parts, "block").groupBy("block")
             out = materialize(
@@ -254,8 +252,7 @@ def counted(docs: DataFrame, least: int = 10, shards: int = 2) -> tuple[DataFram
             )
             scans.append(out)
             if step < 2 * shards:
-                asks.append(out.where("level = 2").select("a", "block", "at", "count", F.lit(step).alias("step")))
-                stale = True
+                asks.append(out.where("level = 2").select("a", "block", "count", F.lit(step).alias("step")))
         if step < shards:
             new = _words_of(blocks, shard, shards).withColumn("since", F.lit(None).cast("int"))
             old = words
@@ -350,19 +347,22 @@ occurrences AS (
 counts AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM occurrences GROUP BY lang, k, phrase),
 totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT * FROM counts WHERE k > 1 AND f >= 10),
+parts AS (
+  SELECT lang, phrase, k, f AS a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS head, array_to_string(list_slice(w, cut + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+),
 cuts AS (
-  SELECT c.lang, c.phrase, c.k, c.f AS a, x.k AS cut, x.f AS l, y.f AS r,
-    CAST((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-  FROM candidates c
-  JOIN counts x ON x.lang = c.lang AND x.k < c.k AND x.phrase = array_to_string(list_slice(c.w, 1, x.k), ' ')
-  JOIN counts y ON y.lang = c.lang AND y.k = c.k - x.k AND y.phrase = array_to_string(list_slice(c.w, x.k + 1, c.k), ' ')
+  SELECT p.*, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.head JOIN counts y ON y.lang = p.lang AND y.phrase = p.rest
 ),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+covered AS (
+  SELECT lang, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS phrase, f
+  FROM candidates WHERE k = 3
+),
+most AS (SELECT lang, phrase, max(f) AS f FROM covered GROUP BY lang, phrase),
 kept AS (
-  SELECT * FROM lowest s WHERE NOT EXISTS (
-    SELECT 1 FROM candidates c WHERE s.k = 2 AND c.k = 3 AND c.lang = s.lang AND 100 * c.f >= 50 * s.a
-      AND (array_to_string(list_slice(c.w, 1, 2), ' ') = s.phrase OR array_to_string(list_slice(c.w, 2, 3), ' ') = s.phrase)
-  )
+  SELECT s.* FROM lowest s LEFT JOIN most m ON m.lang = s.lang AND m.phrase = s.phrase WHERE m.f IS NULL OR 100 * m.f < 50 * s.a
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
