@@ -39,7 +39,7 @@ SALTS = 64
 
 BLOCKS = "block long, stream binary, digests array<long>, words array<string>, langs array<string>, counts array<long>"
 COUNTED = "level int, a long, b long, c long, block long, count long"
-SETTLED = "a long, block long, since int, speaks boolean, total long"
+SETTLED = "block long, pairs binary, waits binary, speaks binary, totals binary"
 
 # What ends a piece, what parts words.
 BREAKS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -125,9 +125,10 @@ def _scan(step: int, shards: int):
     def scan(blocks: pa.Table, told: pa.Table) -> pa.Table:
         ids = np.frombuffer(zstandard.decompress(blocks.column("stream")[0].as_py()), np.uint32).astype(np.int64)
         digests = blocks.column("digests").combine_chunks().values.to_numpy().view(np.uint64)
-        kind, what, since = (told.column(c).to_numpy() for c in ("kind", "what", "since"))
+        kind = told.column("kind").to_numpy()
+        words = told.filter(pa.array(kind == 1))
         frequent = np.full(len(digests) + 1, _NEVER)
-        frequent[what[kind == 1] + 1] = since[kind == 1]
+        frequent[words.column("what").to_numpy() + 1] = words.column("since").to_numpy()
         wide = len(digests) + 1
         left, right = ids[:-1], ids[1:]
         place = np.flatnonzero((np.maximum(frequent[left], frequent[right]) < step) & (left > 0) & (right > 0))
@@ -140,9 +141,12 @@ def _scan(step: int, shards: int):
 
         mine = kind == 2
         if mine.any():
-            order = np.argsort(what[mine])
-            known, wait = what[mine][order], since[mine][order].astype(np.int64)
-            speaks = told.column("speaks").to_numpy(zero_copy_only=False)[mine][order]
+            known, wait, speaks = (
+                np.concatenate([np.frombuffer(x, kind) for x in told.column(c).drop_null().to_pylist()])
+                for c, kind in (("pairs", np.int64), ("waits", np.int32), ("speaks", bool))
+            )
+            order = np.argsort(known)
+            known, wait, speaks = known[order], wait[order].astype(np.int64), speaks[order]
             pair = _pair(digests, code, wide)
             which = np.minimum(np.searchsorted(known, pair), len(known) - 1)
             hit = known[which] == pair
@@ -182,10 +186,13 @@ def _counted(block: int, level: int, a, b, c, count) -> pa.Table:
 
 
 def _settle(least: int):
-    """Rows of a pair side by side: if it is frequent, since which step, in all, and which block spells it out."""
+    """Rows of a pair side by side: if it is frequent, since which step, in all, and which block spells it out.
+
+    What a block is told of many pairs is packed into one row.
+    """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.whole_runs(batches, "a", 50_000):
+        for rows in common.whole_runs(batches, "a", 200_000):
             a, block, step, count = (rows.column(c).to_numpy() for c in ("a", "block", "step", "count"))
             order = np.lexsort((block, step, a))
             a, block, step, count = a[order], block[order], step[order], count[order]
@@ -196,14 +203,30 @@ def _settle(least: int):
             so_far = np.cumsum(count)
             so_far -= (so_far - count)[starts][run]
             since = np.minimum.reduceat(np.where(so_far >= least, step, np.iinfo(np.int32).max), starts)
-            keep = total[run] >= least
+            keep = np.flatnonzero(total[run] >= least)
+            keep = keep[np.argsort(block[keep], kind="stable")]
+            if not len(keep):
+                continue
+            # one row for each block, with all it is told
+            cuts = np.flatnonzero(np.diff(block[keep], prepend=-1))
+            packed = [(a, np.int64), (since[run], np.int32), (begins, bool), (np.where(begins, total[run], 0), np.int64)]
+            pieces = [[x.tobytes() for x in np.split(v[keep].astype(kind), cuts[1:])] for v, kind in packed]
             yield pa.record_batch({
-                "a": a[keep], "block": block[keep], "since": since[run][keep].astype(np.int32), "speaks": begins[keep], "total": total[run][keep],
+                "block": block[keep][cuts],
+                **{name: pa.array(piece, pa.binary()) for name, piece in zip(("pairs", "waits", "speaks", "totals"), pieces)},
             })
 
     return settle
 
 
+def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each frequent pair once, with its count."""
+    for rows in batches:
+        for pairs, speaks, totals in zip(*(rows.column(c).to_pylist() for c in ("pairs", "speaks", "totals"))):
+            one = np.frombuffer(speaks, bool)
+            yield pa.record_batch({"a": np.frombuffer(pairs, np.int64)[one], "count": np.frombuffer(totals, np.int64)[one]})
+
+
 def _words_of(blocks: DataFrame, shard: int, shards: int) -> DataFrame:
     """Counts of the words of a shard."""
     each = F.explode(F.arrays_zip("digests", "words", "langs", "counts"))
@@ -232,7 +255,7 @@ def counted(docs: DataFrame, least: int = 10, shards: int = 2) -> tuple[DataFram
             known = words.where(F.col("since").isNotNull()).select("word", "since")
             told = entries.join(known, "word").select(
                 F.col("block").alias("to"), F.lit(1).alias("kind"), F.col("at").cast("long").alias("what"), "since",
-                F.lit(False).alias("speaks"),
+                *[F.lit(None).cast("binary").alias(c) for c in ("pairs", "waits", "speaks")],
             )
             if shard == 0 and asks:  # a new round: what has become frequent so far
                 if settled is not None:
@@ -244,7 +267,10 @@ def counted(docs: DataFrame, least: int = 10, shards: int = 2) -> tuple[DataFram
             if settled is not None:
                 told = told.unionByName(
                     settled.where(F.col("block") % shards == shard)
-                    .select(F.col("block").alias("to"), F.lit(2).alias("kind"), F.col("a").alias("what"), "since", "speaks")
+                    .select(
+                        F.col("block").alias("to"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("what"),
+                        F.lit(None).cast("int").alias("since"), "pairs", "waits", "speaks",
+                    )
                 )
             streams = here.select("block", "stream", "digests").repartition(parts, "block").groupBy("block")
             out = materialize(
@@ -269,7 +295,7 @@ def counted(docs: DataFrame, least: int = 10, shards: int = 2) -> tuple[DataFram
         found = found.unionByName(more)
     spelled = found.where("level = 1").select("a", F.col("b").alias("first"), F.col("c").alias("second"))
     pairs = materialize(
-        settled.where("speaks").select("a", F.col("total").alias("count")).join(spelled, "a").withColumnRenamed("a", "pair")
+        settled.mapInArrow(_spoken, "a long, count long").join(spelled, "a").withColumnRenamed("a", "pair")
     )
     triples = found.where("level = 3").groupBy(F.col("a").alias("left"), F.col("b").alias("right")).agg(F.sum("count").alias("count"))
     triples = materialize(triples.where(F.col("count") >= least))
