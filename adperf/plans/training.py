@@ -1,10 +1,11 @@
-"""Weighted boosted-tree models for the click rate, random search, leaderboard, importances."""
+"""Weighted boosted-tree models for the click rate, adaptive search, leaderboard, importances."""
 
 from __future__ import annotations
 
 import math
 import random
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.weighted import weighted_mae, weighted_r2, weighted_rmse
 from ..session import checkpoint_dir, materialize
 from ..sources.tables import literal_rows
+from . import boosting
 from .features import FEATURE_SETS, encode, fit_encoder, slot_names, training_weight, with_split
 
 # Ranges of the hyperparameter search.
@@ -85,8 +87,76 @@ def draw_params(space: dict, rng: random.Random) -> dict:
     return drawn
 
 
+def _unit(value: float, bounds: dict) -> float:
+    """Place of a value in its range, from 0 to 1."""
+    low, high = bounds["low"], bounds["high"]
+    if bounds.get("log"):
+        value, low, high = math.log(value), math.log(low), math.log(high)
+    return (value - low) / (high - low) if high > low else 0.0
+
+
+def _from_unit(place: float, bounds: dict) -> float:
+    low, high = bounds["low"], bounds["high"]
+    if bounds.get("log"):
+        return min(max(math.exp(math.log(low) + place * (math.log(high) - math.log(low))), low), high)
+    value = low + place * (high - low)
+    return min(max(round(value), low), high) if bounds["type"] == "int" else value
+
+
+def _density(place: float, seen: list[float]) -> float:
+    """Parzen density on [0, 1]: one bell for each place that was tried, and a flat share as wide as all of them."""
+    width = max(0.05, (len(seen) + 1) ** -0.5 / 2)
+    total = 1.0
+    for center in seen:
+        mass = 0.5 * (math.erf((1 - center) / width / math.sqrt(2)) + math.erf(center / width / math.sqrt(2)))
+        total += math.exp(-0.5 * ((place - center) / width) ** 2) / (width * math.sqrt(2 * math.pi) * mass)
+    return total / (len(seen) + 1)
+
+
+def suggest(
+    space: dict, finished: Iterable[tuple[dict, float | None]], rng: random.Random, startup: int = 2, candidates: int = 24
+) -> dict:
+    """The next point to try, from the points tried so far and their losses.
+
+    The best quarter of the trials counts as good. Of some points drawn near good
+    ones, the one is taken whose density among good trials is highest in relation to
+    that among the others; before ``startup`` trials are there, a random point.
+    Trials without a loss count as bad.
+    """
+    finished = list(finished)
+    if len(finished) < startup:
+        return draw_params(space, rng)
+    ordered = sorted(finished, key=lambda trial: math.inf if trial[1] is None else trial[1])
+    n_good = max(1, math.ceil(len(ordered) / 4))
+    chosen = {}
+    for name, bounds in space.items():
+        places = [_unit(params[name], bounds) for params, _ in ordered]
+        good, bad = places[:n_good], places[n_good:]
+        width = max(0.05, (len(good) + 1) ** -0.5 / 2)
+        drawn = []
+        while len(drawn) < candidates:
+            pick = rng.randrange(len(good) + 1)
+            place = rng.random() if pick == len(good) else rng.gauss(good[pick], width)
+            if 0 <= place <= 1:
+                drawn.append(place)
+        best = max(drawn, key=lambda place: math.log(_density(place, good)) - math.log(_density(place, bad)))
+        value = _from_unit(best, bounds)
+        chosen[name] = int(value) if bounds["type"] == "int" else value
+    return chosen
+
+
+def fit_all(rows: DataFrame, jobs: list[boosting.Job]) -> dict[str, GBTRegressionModel]:
+    """Fit all jobs on the same rows: from cells in one Spark job, or by Spark ML where the cells are too many."""
+    models = boosting.fit_models(rows, jobs)
+    for job in jobs:
+        if models[job.name] is None:
+            encoded = materialize(boosting.collapsed(encode(rows, job.encoder), job.weight))
+            models[job.name] = fit_model(encoded, job.params, job.weight, job.seed)
+    return models
+
+
 def fit_model(encoded: DataFrame, params: dict, weight: str, seed: int) -> GBTRegressionModel:
-    """Fit weighted boosted trees on the encoded rows."""
+    """Fit weighted boosted trees of Spark ML on the encoded rows."""
     checkpoint_dir(encoded.sparkSession)
     columns = params.get("colsample_bytree", 1.0)
     regressor = GBTRegressor(
@@ -139,38 +209,43 @@ def train_stale(frame: DataFrame, params: dict = STALE_PARAMS, seed: int = 42) -
     """The model that knows the time before the drift only."""
     ready = prepared(frame).where(F.col("is_drift_window") == 0)
     encoder = fit_encoder(ready, FEATURE_SETS[STALE_FEATURES])
-    encoded = encode(ready, encoder)
-    model = fit_model(_train(encoded), params, "impressions", seed)
-    rmse = evaluate(model.transform(_validation(encoded)))["rmse"]
+    job = boosting.Job("stale", encoder, params, "impressions", seed)
+    model = fit_all(_train(ready), [job])["stale"]
+    rmse = evaluate(model.transform(encode(_validation(ready), encoder)))["rmse"]
     return Trained(uuid.uuid4().hex, STALE_FEATURES, dict(params), encoder, model, {"rmse": rmse})
 
 
 def search(ready: DataFrame, config: TrainingConfig) -> list[dict]:
-    """Fit every feature set with random parameters; one record per trial.
+    """Trials of every feature set, round by round; one record per trial.
 
-    Each trial is a set of Spark jobs on the stored frame, a few trials at a
-    time. Only the metrics come back to the driver.
+    The trials of a round, one for each feature set, are fitted in one Spark job. The
+    next round's parameters are drawn from the finished trials of the same feature
+    set. Only the metrics come back to the driver.
     """
-    trials = []
-    for offset, (name, feature_names) in enumerate(config.feature_sets.items()):
-        encoded = encode(ready, fit_encoder(ready, feature_names))
-        rng = random.Random(config.random_seed + offset)
-        trials += [(name, encoded, draw_params(config.space, rng)) for _ in range(config.n_trials)]
-
-    def run(trial) -> dict:
-        name, encoded, params = trial
-        model = fit_model(_train(encoded), params, "train_weight", config.random_seed)
-        return {
-            "run_id": uuid.uuid4().hex,
-            "run_name": f"search_{name}",
-            "feature_set": name,
-            "params": {key: float(value) for key, value in params.items()},
-            "metrics": evaluate(model.transform(_validation(encoded))),
-            "tags": {"model_generation": config.generation, "feature_set": name},
-        }
-
-    with ThreadPool(max(1, config.parallel_trials)) as pool:
-        return pool.map(inheritable_thread_target(ready.sparkSession)(run), trials, chunksize=1)
+    encoders = {name: fit_encoder(ready, names) for name, names in config.feature_sets.items()}
+    draws = {name: random.Random(config.random_seed + offset) for offset, name in enumerate(encoders)}
+    runs: list[dict] = []
+    for _ in range(config.n_trials):
+        jobs = []
+        for name, encoder in encoders.items():
+            own = [(run["params"], run["metrics"]["rmse_misbid_cohort"]) for run in runs if run["feature_set"] == name]
+            jobs.append(boosting.Job(name, encoder, suggest(config.space, own, draws[name]), "train_weight", config.random_seed))
+        models = fit_all(_train(ready), jobs)
+
+        def record(job: boosting.Job, models=models) -> dict:
+            scored = models[job.name].transform(encode(_validation(ready), job.encoder))
+            return {
+                "run_id": uuid.uuid4().hex,
+                "run_name": f"search_{job.name}",
+                "feature_set": job.name,
+                "params": {key: float(value) for key, value in job.params.items()},
+                "metrics": evaluate(scored),
+                "tags": {"model_generation": config.generation, "feature_set": job.name},
+            }
+
+        with ThreadPool(max(1, config.parallel_trials)) as pool:
+            runs += pool.map(inheritable_thread_target(ready.sparkSession)(record), jobs, chunksize=1)
+    return runs
 
 
 def winner(runs: list[dict]) -> dict:
@@ -186,10 +261,10 @@ def winner(runs: list[dict]) -> dict:
 def refit(ready: DataFrame, best: dict, config: TrainingConfig) -> Trained:
     """Fit the winner again and measure it on the validation rows and on the whole cohort."""
     encoder = fit_encoder(ready, config.feature_sets[best["feature_set"]])
-    encoded = encode(ready, encoder)
-    model = fit_model(_train(encoded), best["params"], "train_weight", config.random_seed)
+    job = boosting.Job("refit", encoder, best["params"], "train_weight", config.random_seed)
+    model = fit_all(_train(ready), [job])["refit"]
     columns = ("actual_ctr", "prediction", "impressions")
-    row = model.transform(encoded).agg(
+    row = model.transform(encode(ready, encoder)).agg(
         weighted_rmse(*columns, F.col("is_validation")).alias("rmse"),
         weighted_mae(*columns, F.col("is_validation")).alias("mae"),
         weighted_r2(*columns, F.col("is_validation")).alias("r2"),
@@ -245,3 +320,48 @@ def top_features(importance: DataFrame, top: int | None = None) -> DataFrame:
     """The slots by importance; all of them unless ``top`` is given."""
     ordered = importance.orderBy(F.col("importance").desc(), "feature")
     return ordered if top is None else ordered.limit(top)
+
+
+def facts(ready: DataFrame, scored: DataFrame, runs: DataFrame, importance: DataFrame, upper: float) -> DataFrame:
+    """Statements that hold for every sound training, as ``fact`` and ``value``: counts, and how often a rule is broken."""
+
+    def count(df: DataFrame, name: str, *conditions: Column) -> DataFrame:
+        hit = F.lit(True)
+        for condition in conditions:
+            hit = hit & F.coalesce(condition, F.lit(False))
+        return df.agg(F.count_if(hit).alias("value")).select(F.lit(name).alias("fact"), "value")
+
+    champion, stale = F.col("predicted_ctr_champion"), F.col("predicted_ctr_stale")
+    candidate = F.col("tags")["model_generation"].endswith("candidate")
+    cohort = F.col("metrics")["rmse_misbid_cohort"]
+    run = F.struct("feature_set", F.array_sort(F.map_entries("params")).alias("params"))
+    winners = runs.agg(
+        F.min_by(run, F.when(candidate, cohort)).alias("best"), F.max(F.when(F.col("run_name") == "champion", run)).alias("picked")
+    )
+    inside = F.lit(True)
+    for name, bounds in SEARCH_SPACE.items():
+        inside = inside & F.col("params")[name].between(bounds["low"], bounds["high"])
+    each_set = [
+        count(runs, f"trials_{name}", candidate, F.col("feature_set") == name) for name in FEATURE_SETS
+    ]
+    parts = [
+        count(ready, "rows_training", ~F.col("is_validation")),
+        count(ready, "rows_validation", F.col("is_validation")),
+        count(scored, "rows_scored"),
+        count(scored, "predictions_outside_bounds", ~(champion.between(0, upper) & stale.between(0, upper))),
+        count(
+            scored, "gaps_that_differ",
+            (F.abs(F.col("ctr_gap_champion") - (champion - F.col("actual_ctr"))) > 1e-12)
+            | (F.abs(F.col("ctr_gap_stale") - (stale - F.col("actual_ctr"))) > 1e-12),
+        ),
+        count(runs, "trials", candidate),
+        *each_set,
+        count(runs, "parameters_outside_space", candidate, ~inside),
+        count(winners, "winner_is_not_the_minimum", ~F.col("best").eqNullSafe(F.col("picked"))),
+        count(importance, "importances_below_zero", F.col("importance") < 0),
+        count(importance.agg(F.sum("importance").alias("total")), "importances_do_not_add_up", F.abs(F.col("total") - 1) > 1e-9),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -107,6 +107,12 @@ def _versions(spark: SparkSession, name: str) -> list[int]:
     return sorted(int(match.group(1)) for match in matches if match)
 
 
+def current_version(spark: SparkSession, name: str) -> str | None:
+    """Name of the table behind a view that ``replace_table`` keeps; None without one."""
+    versions = _versions(spark, name)
+    return f"{name}__v{versions[-1]}" if versions and spark.catalog.tableExists(name) else None
+
+
 def replace_table(
     df: DataFrame, name: str, comment: str = "", partition_by: list[str] = (), keep: int = 2
 ) -> int:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import random
-from datetime import datetime, timezone
+import re
+from datetime import date, datetime, timezone
+from multiprocessing.pool import ThreadPool
 
 import pytest
 from pyspark.ml.functions import vector_to_array
 
-from adperf.entrypoints.queries import QUICK_STALE, UPPER
+from adperf.entrypoints.queries import UPPER
 from adperf.operators.decisions import RetrainPolicy
 from adperf.operators.layers import segment_ctr_daily, silver_impressions
-from adperf.plans import features, lifecycle, quality, registry, training
+from adperf.plans import boosting, features, lifecycle, quality, registry, training
 from adperf.plans.predictions import COLUMNS
-from adperf.sources import events
+from adperf.sources import commits, events
+from adperf.sources.tables import create_database, overwrite_table
 
 TINY = {
     "n_estimators": {"type": "int", "low": 2, "high": 3},
@@ -109,17 +113,153 @@ def test_jobs_end_to_end(spark, sf_dir):
     runs = spark.table(f"{database}.{lifecycle.RUNS}")
     assert quality.trial_count_check(runs, 3, 3).first()["passed"]
     assert training.leaderboard(runs).count() == 9
+    again_summary = lifecycle.retrain(spark, database, "ctr", artifacts, times[3], again, -1000.0, UPPER).first()
+    assert again_summary == accepted  # the same run: nothing is trained or registered again
+    importances = spark.table(f"{database}.{lifecycle.IMPORTANCES}")
+    assert importances.where(training.F.col("run_id") == accepted["run_id"]).count() > 0
+    assert accepted["top_features"]
     versions = spark.table(f"{database}.model_versions")
+    assert versions.count() == 4
     assert all(r["passed"] for r in quality.versions_check(versions, aliases).collect())
     assert quality.decisions_recorded_check(log, 2).first()["passed"]
 
 
 def test_importance_names_every_slot(spark, frame):
     ready = training.prepared(frame)
-    trained = training.refit(ready, {"feature_set": "fs_c_full", "params": QUICK_STALE}, training.TrainingConfig())
+    trained = training.refit(ready, {"feature_set": "fs_c_full", "params": TINY_STALE}, training.TrainingConfig())
     importance = training.feature_importance(spark, trained)
     assert importance.count() == len(features.slot_names(trained.encoder))
     assert sum(r["importance"] for r in importance.collect()) == pytest.approx(1.0)
     top = training.top_features(importance).collect()
     assert len(top) == importance.count() and len(training.top_features(importance, 10).collect()) == 10
     assert [r["importance"] for r in top] == sorted((r["importance"] for r in top), reverse=True)
+
+
+@pytest.mark.parametrize("broken", ["register_version", "tag_version", "set_alias", "score_against_prior"])
+def test_a_stopped_retrain_goes_on_after_its_last_step(spark, frame, monkeypatch, broken):
+    """Stopped right after the effect of a step, before it is noted: one version, one set of runs, the right prior."""
+    database = f"stopped_{broken}"
+    artifacts = f"{spark.sparkContext.getCheckpointDir()}/{database}_models"
+    create_database(spark, database)
+    overwrite_table(frame.withColumn("event_date", training.F.col("event_date")), f"{database}.{lifecycle.SEGMENTS}")
+    config = training.TrainingConfig(n_trials=1, space=TINY, parallel_trials=3)
+    times = [datetime(2024, 1, day, tzinfo=timezone.utc) for day in (1, 2)]
+    lifecycle.retrain(spark, database, "ctr", artifacts, times[0], config, upper=UPPER).collect()
+    before = spark.table(f"{database}.{lifecycle.PREDICTIONS}").select(*features.GRAIN, "predicted_ctr_champion").collect()
+    real = getattr(lifecycle, broken)
+
+    def stopping(*args, **kwargs):
+        real(*args, **kwargs)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(lifecycle, broken, stopping)
+    with pytest.raises(RuntimeError, match="lost"):
+        lifecycle.retrain(spark, database, "ctr", artifacts, times[1], config, -1000.0, UPPER)
+    monkeypatch.setattr(lifecycle, broken, real)
+    summary = lifecycle.retrain(spark, database, "ctr", artifacts, times[1], config, -1000.0, UPPER).collect()
+    assert len(summary) == 1 and summary[0]["candidate_version"] == 2
+    assert spark.table(f"{database}.model_versions").count() == 2
+    runs = spark.table(f"{database}.{lifecycle.RUNS}")
+    assert runs.count() == runs.select("run_id").distinct().count() == 8
+    stale = spark.table(f"{database}.{lifecycle.PREDICTIONS}").select(*features.GRAIN, "predicted_ctr_stale").collect()
+    assert sorted(map(tuple, stale), key=repr) == sorted(map(tuple, before), key=repr)
+
+
+def test_many_writers_get_numbers_of_their_own(spark):
+    create_database(spark, "writers")
+    now = datetime(2024, 1, 1)
+    registry.register_version(spark, "writers", "other model/x", "run", "path", now)
+    with ThreadPool(8) as pool:
+        found = pool.map(lambda k: registry.register_version(spark, "writers", "ctr", f"run{k}", "path", now), range(24))
+    assert sorted(found) == list(range(1, 25))
+    rows = spark.table("writers.model_versions").where("model_name = 'ctr'").collect()
+    assert sorted(r["version"] for r in rows) == list(range(1, 25)) and len({r["run_id"] for r in rows}) == 24
+
+
+def test_a_number_without_content_stays_taken(spark):
+    folder = f"{spark.sparkContext.getCheckpointDir()}/numbers"
+    assert commits.take_number(spark, folder, lambda n: {"n": n}) == 1
+    assert commits._claimed(spark, f"{folder}/0000000002.json")  # its writer died
+    assert commits.read_json(spark, f"{folder}/0000000002.json") is None
+    assert commits.take_number(spark, folder, lambda n: {"n": n}) == 3
+    assert not commits.create_once(spark, f"{folder}/0000000001.json", {})
+    assert commits.read_json(spark, f"{folder}/0000000003.json") == {"n": 3}
+    assert commits.read_json(spark, f"{folder}/none.json") is None
+
+
+def test_same_trees_from_collapsed_and_plain_rows(spark):
+    """Whole numbers as weights and targets: the sums are exact, so the trees are the same ones."""
+    rng = random.Random(5)
+    rows = [
+        (date(2024, 1, 1 + k % 28), *[rng.choice(levels) for levels in (["a", "b", "c"], ["x", "y"], ["m", "n", "o"], ["u", "v"], ["k1", "k2"], ["f", "g"])],
+         float(rng.randint(0, 8)), rng.randint(1, 9))
+        for k in range(900)
+    ]
+    names = ["event_date", *features.FEATURE_SETS["fs_b_campaign"], "actual_ctr", "train_weight"]
+    plain = spark.createDataFrame(rows, names)
+    params = {"n_estimators": 12, "max_depth": 4, "learning_rate": 0.5}
+    for name in ("fs_a_core", "fs_b_campaign"):
+        encoder = features.fit_encoder(plain, features.FEATURE_SETS[name])
+        job = boosting.Job(name, encoder, params, "train_weight", 3)
+        w = training.F.col("train_weight")
+        keys = features.FEATURE_SETS[name]
+        summed = plain.groupBy(*keys).agg(
+            training.F.min("event_date").alias("event_date"),
+            (training.F.sum(w * training.F.col("actual_ctr")) / training.F.sum(w)).alias("actual_ctr"),
+            training.F.sum(w).alias("train_weight"),
+            *[training.F.min(c).alias(c) for c in features.GRAIN[1:] if c not in keys],
+        )
+        whole = boosting.fit_models(plain, [job])[name]
+        folded = boosting.fit_models(summed, [job])[name]
+        assert len(whole.trees) == 13 and whole.treeWeights[:2] == [1.0, 0.5]
+        splits = re.compile(r"feature (\d+) (?:<=|>) ([\d.]+)")
+        assert splits.findall(whole.toDebugString) == splits.findall(folded.toDebugString)
+        encoded = features.encode(plain, encoder)
+        for a, b in zip(whole.transform(encoded).select("prediction").collect(), folded.transform(encoded).select("prediction").collect()):
+            assert a[0] == pytest.approx(b[0], abs=1e-9)
+
+
+def test_boosting_finds_the_rule_and_equals_plain_boosting(spark):
+    """A step in a number and a level: found by few trees; predictions equal those of the nodes, tree by tree."""
+    rng = random.Random(8)
+    rows = [(date(2024, 1, 1 + k % 28), rng.choice("abc"), "d", "c", "v", f"k{k % 3}", "o", k % 7, float(rng.randint(1, 100)), 0, rng.randint(1, 5)) for k in range(700)]
+    names = ["event_date", *features.FEATURE_SETS["fs_c_full"], "train_weight"]
+    F = training.F
+    table = spark.createDataFrame(rows, names).withColumn("actual_ctr", F.when((F.col("channel") == "a") & (F.col("impressions") > 50), 1.0).otherwise(0.0))
+    encoder = features.fit_encoder(table, features.FEATURE_SETS["fs_c_full"])
+    job = boosting.Job("c", encoder, {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.5, "subsample": 0.8, "colsample_bytree": 0.9}, "train_weight", 3)
+    model = training.fit_all(table, [job])["c"]
+    off = model.transform(features.encode(table, encoder)).select(F.abs(F.col("prediction") - F.col("actual_ctr")))
+    assert off.agg(F.avg(off.columns[0])).first()[0] < 0.06  # bins are wider than single impressions
+    assert model.numFeatures == len(features.slot_names(encoder))
+    named = dict(zip(features.slot_names(encoder), model.featureImportances.toArray()))
+    assert named["channel_a"] + named["impressions"] > 0.8
+
+
+def test_cells_beyond_the_bound_are_fitted_by_spark_ml(spark, frame, monkeypatch):
+    monkeypatch.setattr(boosting, "MOST_CELLS", 5)
+    ready = training.prepared(frame)
+    trained = training.refit(ready, {"feature_set": "fs_a_core", "params": TINY_STALE}, training.TrainingConfig())
+    assert trained.model.getNumTrees == 2 and trained.metrics["rmse"] > 0
+
+
+def test_suggestions_are_seeded_inside_the_space_and_better_than_random():
+    space = training.SEARCH_SPACE
+
+    def loss(p):
+        return (math.log(p["learning_rate"] / 0.05)) ** 2 + ((p["max_depth"] - 6) / 3) ** 2 + ((p["n_estimators"] - 400) / 200) ** 2
+
+    def best(adaptive, seed, trials=30):
+        rng, seen = random.Random(seed), []
+        for _ in range(trials):
+            p = training.suggest(space, seen, rng) if adaptive else training.draw_params(space, rng)
+            for name, bounds in space.items():
+                assert bounds["low"] <= p[name] <= bounds["high"]
+            seen.append((p, loss(p)))
+        return [x for _, x in seen]
+
+    assert best(True, 1) == best(True, 1)
+    adaptive, plain = (sum(min(best(how, seed)) for seed in range(20)) / 20 for how in (True, False))
+    assert adaptive < 0.6 * plain
+    # trials without a loss are no example to follow
+    assert training.suggest(space, [(training.draw_params(space, random.Random(1)), None)] * 3, random.Random(2))
