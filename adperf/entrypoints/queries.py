@@ -24,7 +24,8 @@ from ..plans import (
 from ..schemas import GRAIN
 from ..session import checkpoint_dir, materialize, split_hot_keys
 from ..sources import events, order_lines
-from ..sources.tables import create_database
+from ..sources.day_tables import read_days
+from ..sources.tables import append_table, comment_columns, create_database, overwrite_table, replace_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -272,6 +273,16 @@ def one_hot_wide(spark, sf_dir):
     return features.one_hot_wide(frame, features.fit_encoder(frame, features.FEATURE_SETS["fs_a_core"]))
 
 
+def level_ids(spark, sf_dir):
+    """The levels of the encoded columns by number, with the rows of each."""
+    frame = features.feature_frame(_segments(spark, sf_dir))
+    names = features.CATEGORICALS
+    rows = frame.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in names])).alias("pair")
+    ).select("pair.*").groupBy("name", "level").count()
+    return features.level_dictionary(frame, names).join(rows, ["name", "level"]).withColumnRenamed("count", "rows")
+
+
 def training_weights(spark, sf_dir):
     return _segments(spark, sf_dir).select(*GRAIN, "impressions", features.training_weight().alias("train_weight"))
 
@@ -364,6 +375,90 @@ def dq_metric_coverage(spark, sf_dir):
     return quality.metric_coverage(_metrics(spark, sf_dir))
 
 
+def hot_key_join(spark, sf_dir):
+    """Every impression with the totals of its campaign, joined as if the totals were a large table."""
+    raw = materialize(_raw(spark, sf_dir))
+    totals = materialize(
+        raw.groupBy("campaign_id").agg(F.max("campaign_name").alias("name"), F.count(F.lit(1)).alias("total"))
+    )
+    joined = lookups.lookup_join(raw, totals, "campaign_id", ["impression_id"], small_rows=0)
+    return joined.groupBy("event_date", "campaign_id").agg(
+        F.count(F.lit(1)).alias("impressions"), F.sum("total").alias("totals"), F.max("name").alias("name")
+    )
+
+
+# ---- writers --------------------------------------------------------------
+
+LATE_DAY = date(2024, 1, 15)
+
+
+def _table_days(df: DataFrame) -> list[date]:
+    """The days of a table, one row each."""
+    return [row[0] for row in df.select("event_date").distinct().orderBy("event_date").collect()]
+
+
+def refresh_by_day(spark, sf_dir):
+    """The rollup after all days were written and one of them came again without its tablets."""
+    raw = materialize(_raw(spark, sf_dir))
+    root = f"{checkpoint_dir(spark)}/days_{uuid.uuid4().hex}"
+    drift = (events.DRIFT_START, events.DRIFT_CAMPAIGNS)
+    lifecycle.refresh_days(spark, raw, root, _table_days(raw), *drift)
+    lifecycle.refresh_days(spark, raw.where(F.col("device") != "Tablet"), root, [LATE_DAY], *drift)
+    return rounded(read_days(spark, f"{root}/{lifecycle.SEGMENTS}"))
+
+
+def refresh_by_day_campaigns(spark, sf_dir):
+    """The campaign rollup after one day was taken away and another came again."""
+    raw = materialize(_raw(spark, sf_dir))
+    root = f"{checkpoint_dir(spark)}/days_{uuid.uuid4().hex}"
+    drift = (events.DRIFT_START, events.DRIFT_CAMPAIGNS)
+    lifecycle.refresh_days(spark, raw, root, _table_days(raw), *drift)
+    lifecycle.refresh_days(spark, raw.where("false"), root, [LATE_DAY], *drift)
+    return rounded(read_days(spark, f"{root}/{lifecycle.CAMPAIGNS}"))
+
+
+def monitoring_incremental(spark, sf_dir):
+    """The metrics from stored sums, where the last day came after the others and one day came late."""
+    predicted = materialize(_predictions(spark, sf_dir))
+    root = f"{checkpoint_dir(spark)}/windows_{uuid.uuid4().hex}"
+    *days, last = _table_days(predicted)
+    early = [day for day in days if day != LATE_DAY]
+    for some in (early, [last], [LATE_DAY]):
+        monitoring.refresh_windows(spark, predicted, root, some)
+    return rounded(monitoring.stored_metrics(spark, root).drop("computed_at"))
+
+
+def written_tables(spark, sf_dir):
+    """A table that was overwritten, appended to with a new column, and replaced from itself."""
+    database, _ = _fresh_database(spark)
+    name = f"{database}.by_channel"
+    by_channel = _campaigns(spark, sf_dir).groupBy("channel").agg(F.sum("impressions").alias("impressions"))
+    overwrite_table(by_channel.withColumn("old", F.lit(1)), name, "to be overwritten")
+    rows = overwrite_table(by_channel, name, "impressions by channel")
+    rows += append_table(by_channel.select(F.lower("channel").alias("channel"), F.lit("copy").alias("origin")), name)
+    comment_columns(spark, name, {"channel": "where the advert was shown"})
+    shown = f"{database}.shown"
+    replace_table(spark.table(name).withColumn("rows_written", F.lit(rows)), shown)
+    replace_table(spark.table(shown).withColumn("doubled", 2 * F.col("impressions")), shown, "second version")
+    result = materialize(spark.table(shown))
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return result
+
+
+def decision_log(spark, sf_dir):
+    """The audit log after four runs of the monitor, the last instant twice."""
+    database, _ = _fresh_database(spark)
+    replace_table(_predictions(spark, sf_dir), f"{database}.{lifecycle.PREDICTIONS}")
+    for now in [*EVALUATIONS, EVALUATIONS[-1]]:
+        lifecycle.run_monitor(spark, database, now, policy=POLICY)
+    log = spark.table(f"{database}.{lifecycle.DECISIONS}")
+    result = materialize(_naive(log).groupBy("evaluated_at").agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if(F.length("reason") > 0).alias("with_reason")
+    ))
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return result
+
+
 # ---- trained models (rows only) -----------------------------------------
 
 
@@ -475,6 +570,7 @@ def queries() -> dict[str, Query]:
         "model_metrics": _on_predictions(questions.model_metrics),
         "feature_frame": feature_frame,
         "one_hot_wide": one_hot_wide,
+        "level_ids": level_ids,
         "training_weights": training_weights,
         "hash_split": hash_split,
         "slice_daily": slice_daily,
@@ -495,6 +591,12 @@ def queries() -> dict[str, Query]:
         "dq_countries": dq_countries,
         "dq_gap": dq_gap,
         "dq_metric_coverage": dq_metric_coverage,
+        "hot_key_join": hot_key_join,
+        "refresh_by_day": refresh_by_day,
+        "refresh_by_day_campaigns": refresh_by_day_campaigns,
+        "monitoring_incremental": monitoring_incremental,
+        "written_tables": written_tables,
+        "decision_log": decision_log,
         "gbt_scored": gbt_scored,
         "hpo_leaderboard": hpo_leaderboard,
         "feature_importance": feature_importance,

@@ -316,6 +316,37 @@ def oracle_sql() -> dict[str, str]:
             "is_drift_window, is_drift_segment FROM silver",
         ),
         "segment_ctr_daily": _with(SEGMENTS, f"SELECT {SEGMENT_SELECT} FROM seg"),
+        "refresh_by_day": _with(
+            SILVER + ",\n" + SEGMENTS_OF.format(
+                keys=SEGMENT_COLUMNS, measures=MEASURES.format(rate="actual_ctr", cvr=CVR),
+                source="silver WHERE NOT (event_date = DATE '2024-01-15' AND device = 'Tablet')",
+            ),
+            f"SELECT {SEGMENT_SELECT} FROM seg",
+        ),
+        "refresh_by_day_campaigns": _with(
+            CAMPAIGNS.replace("FROM silver GROUP", "FROM silver WHERE event_date <> DATE '2024-01-15' GROUP"),
+            f"SELECT {CAMPAIGN_SELECT} FROM camp",
+        ),
+        "written_tables": _with(
+            CAMPAIGNS + """,
+channels AS (SELECT channel, CAST(sum(impressions) AS BIGINT) AS impressions FROM camp GROUP BY channel),
+both_parts AS (
+  SELECT channel, impressions, CAST(NULL AS VARCHAR) AS origin FROM channels
+  UNION ALL SELECT lower(channel), NULL, 'copy' FROM channels)""",
+            "SELECT *, CAST(2 * (SELECT count(*) FROM channels) AS INTEGER) AS rows_written, "
+            "2 * impressions AS doubled FROM both_parts",
+        ),
+        "decision_log": (
+            "SELECT evaluated_at, 1::BIGINT AS decisions, 1::BIGINT AS with_reason FROM (VALUES "
+            "(TIMESTAMP '2024-01-22 07:00:00'), (TIMESTAMP '2024-01-25 07:00:00'), "
+            "(TIMESTAMP '2024-01-29 07:00:00'), (TIMESTAMP '2024-02-01 07:00:00')) evaluations(evaluated_at)"
+        ),
+        "hot_key_join": _with(
+            IMPRESSIONS + """,
+named AS (SELECT campaign_id, max(campaign_name) AS name, count(*) AS total FROM imp GROUP BY campaign_id)""",
+            "SELECT imp.event_date, imp.campaign_id, count(*) AS impressions, CAST(sum(total) AS BIGINT) AS totals, "
+            "max(name) AS name FROM imp JOIN named USING (campaign_id) GROUP BY imp.event_date, imp.campaign_id",
+        ),
         "campaign_daily": _with(CAMPAIGNS, f"SELECT {CAMPAIGN_SELECT} FROM camp"),
         "campaign_daily_from_segments": _with(CAMPAIGNS, f"SELECT {CAMPAIGN_SELECT} FROM camp"),
         "order_line_segment_daily": _with(
@@ -523,6 +554,15 @@ joined AS (
             METRICS,
             "SELECT dimension_name, dimension_value, model_version, round(baseline_rmse, 6) AS baseline_rmse FROM bline",
         ),
+        "monitoring_incremental": _with(METRICS, f"SELECT {METRIC_SELECT} FROM metrics"),
+        "level_ids": _with(
+            SEGMENTS + """,
+levels AS (
+  SELECT unnest(['channel', 'device', 'country', 'visitor_type', 'campaign_id', 'objective']) AS name,
+    unnest([channel, device, country, visitor_type, campaign_id, objective]) AS level FROM seg)""",
+            "SELECT name, level, row_number() OVER (PARTITION BY name ORDER BY level) - 1 AS index, count(*) AS rows "
+            "FROM levels WHERE level IS NOT NULL GROUP BY name, level",
+        ),
         "monitoring_metrics": _with(METRICS, f"SELECT {METRIC_SELECT} FROM metrics"),
         "health_latest_overall": _with(
             METRICS,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.decisions import RetrainPolicy, as_utc, overall_slice, promotion_gate, retrain_decisions
 from ..operators.layers import campaign_daily_from_segments, segment_ctr_daily, silver_impressions
 from ..sources.commits import Journal
+from ..sources.day_tables import read_days, replace_days
 from ..sources.tables import (
     append_table, create_database, current_version, literal_rows, optional_table, overwrite_table, replace_table,
 )
@@ -82,6 +83,28 @@ def refresh_tables(
     return written
 
 
+def refresh_days(
+    spark: SparkSession,
+    raw: DataFrame,
+    root: str,
+    days: list[date],
+    drift_start: date,
+    drift_campaigns: list[str],
+) -> dict[str, int]:
+    """Rebuild silver and the two rollups for some days only; returns the version of each.
+
+    ``raw`` may hold other days, too; they are left out by a filter on the day. Each
+    layer reads only the days that were written for it before.
+    """
+    changed = raw.where(F.col("event_date").isin(days))
+    versions = {SILVER: replace_days(silver_impressions(changed, drift_start, drift_campaigns), f"{root}/{SILVER}", days)}
+    segments = segment_ctr_daily(read_days(spark, f"{root}/{SILVER}", days))
+    versions[SEGMENTS] = replace_days(segments, f"{root}/{SEGMENTS}", days)
+    campaigns = campaign_daily_from_segments(read_days(spark, f"{root}/{SEGMENTS}", days))
+    versions[CAMPAIGNS] = replace_days(campaigns, f"{root}/{CAMPAIGNS}", days)
+    return versions
+
+
 def run_monitor(
     spark: SparkSession,
     database: str,

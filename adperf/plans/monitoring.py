@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.slices import OVERALL, SLICE, rolled_metrics, rolling_sums, slice_daily
+from ..operators.slices import OVERALL, SLICE, rolled_metrics, rolling_sums, slice_baseline, slice_daily
 from ..schemas import DIMENSIONS
+from ..sources.day_tables import manifest, read_days, replace_days
+
+#: Day tables of the stored form: sums by day and slice, and the sums of all windows that end on a day.
+DAILY, ROLLED = "slice_daily", "slice_rolled"
 
 COLUMNS = [
     "metric_date", "window_days", "dimension_name", "dimension_value", "model_version",
@@ -42,6 +47,42 @@ def monitoring_metrics(
     return metrics.withColumn("computed_at", stamp).select(*COLUMNS)
 
 
+def refresh_windows(
+    spark: SparkSession, predictions: DataFrame, root: str, days: list[date], config: MonitorConfig = MonitorConfig()
+) -> list[date]:
+    """Bring the stored sums up to date after ``days`` came, or came again; returns the days whose windows were rewritten.
+
+    ``predictions`` are those of the given days, others are left out. A day changes
+    the windows that end on it or on one of the following days, as far as the longest
+    window reaches; only these are rewritten, from the stored sums of the days before.
+    """
+    reach = max(config.windows_days)
+    part = predictions.where(F.col("event_date").isin(days))
+    replace_days(slice_daily(part, config.dimensions), f"{root}/{DAILY}", days, "metric_date")
+    known = {date.fromisoformat(day) for day in manifest(spark, f"{root}/{DAILY}")["days"]}
+    behind = {day + timedelta(k) for day in days for k in range(reach)}
+    ends = sorted(behind & (known | set(days)))
+    needed = sorted({end - timedelta(k) for end in ends for k in range(reach)} & known)
+    rolled = rolling_sums(read_days(spark, f"{root}/{DAILY}", needed), config.windows_days).drop("baseline_rmse")
+    replace_days(rolled.where(F.col("metric_date").isin(ends)), f"{root}/{ROLLED}", ends, "metric_date")
+    return ends
+
+
+def stored_metrics(
+    spark: SparkSession, root: str, config: MonitorConfig = MonitorConfig(), computed_at: Column | None = None
+) -> DataFrame:
+    """The table of ``monitoring_metrics`` from the stored sums; the fact is not read.
+
+    The pre-drift error of a slice is a sum over all days, so it is taken when the table
+    is read: one row for each slice, from the sums by day.
+    """
+    baseline = slice_baseline(read_days(spark, f"{root}/{DAILY}"))
+    rolled = read_days(spark, f"{root}/{ROLLED}").join(baseline, SLICE, "left")
+    metrics = rolled_metrics(rolled, config.warning_pct, config.critical_pct)
+    stamp = F.current_timestamp() if computed_at is None else computed_at
+    return metrics.withColumn("computed_at", stamp).select(*COLUMNS)
+
+
 def _is_overall() -> Column:
     return (F.col("dimension_name") == OVERALL[0]) & (F.col("dimension_value") == OVERALL[1])
 

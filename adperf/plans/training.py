@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.weighted import weighted_mae, weighted_r2, weighted_rmse
+from ..functions.weighted import weighted_mae, weighted_mean, weighted_r2, weighted_rmse
 from ..session import checkpoint_dir, materialize
 from ..sources.tables import literal_rows
 from . import boosting
@@ -181,13 +181,14 @@ def in_cohort() -> Column:
 
 
 def evaluate(scored: DataFrame) -> dict:
-    """Weighted metrics of one model's predictions, in one aggregate."""
+    """Weighted metrics of one model's predictions: the mean, and then all others around it in one aggregate."""
     columns = ("actual_ctr", "prediction", "impressions")
+    center = scored.agg(weighted_mean(*columns).alias("mean")).first()["mean"] or 0.0
     row = scored.agg(
         weighted_rmse(*columns, in_cohort()).alias("rmse_misbid_cohort"),
         weighted_rmse(*columns).alias("rmse"),
         weighted_mae(*columns).alias("mae"),
-        weighted_r2(*columns).alias("r2"),
+        weighted_r2(*columns, center=center).alias("r2"),
     ).first()
     return row.asDict()
 
@@ -264,10 +265,12 @@ def refit(ready: DataFrame, best: dict, config: TrainingConfig) -> Trained:
     job = boosting.Job("refit", encoder, best["params"], "train_weight", config.random_seed)
     model = fit_all(_train(ready), [job])["refit"]
     columns = ("actual_ctr", "prediction", "impressions")
-    row = model.transform(encode(ready, encoder)).agg(
+    scored = model.transform(encode(ready, encoder))
+    center = scored.agg(weighted_mean(*columns, F.col("is_validation")).alias("mean")).first()["mean"] or 0.0
+    row = scored.agg(
         weighted_rmse(*columns, F.col("is_validation")).alias("rmse"),
         weighted_mae(*columns, F.col("is_validation")).alias("mae"),
-        weighted_r2(*columns, F.col("is_validation")).alias("r2"),
+        weighted_r2(*columns, F.col("is_validation"), center).alias("r2"),
         weighted_rmse(*columns, in_cohort()).alias("rmse_misbid_cohort"),
     ).first()
     return Trained(uuid.uuid4().hex, best["feature_set"], best["params"], encoder, model, row.asDict())

@@ -8,6 +8,7 @@ never lost between writers, as each is a file of its own.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from urllib.parse import quote
 
@@ -23,41 +24,50 @@ def _path(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _claimed(spark: SparkSession, path: str) -> bool:
-    """Create an empty file; False if it is there already."""
-    target, files = _path(spark, path)
-    files.mkdirs(target.getParent())
-    if files.getScheme() == "file":  # the local file system of Hadoop looks first and creates then
-        return spark._jvm.java.io.File(target.toUri().getPath()).createNewFile()
+def _write(files, path, content: dict) -> None:
+    out = files.create(path, True)
     try:
-        files.create(target, False).close()
-    except Py4JJavaError:
-        if files.exists(target):
-            return False
-        raise
-    return True
+        out.write(bytearray(json.dumps(content).encode()))
+    finally:
+        out.close()
 
 
 def write_json(spark: SparkSession, path: str, content: dict) -> None:
     """Write or replace the file."""
     target, files = _path(spark, path)
-    out = files.create(target, True)
-    try:
-        out.write(bytearray(json.dumps(content).encode()))
-    finally:
-        out.close()
+    _write(files, target, content)
 
 
 def create_once(spark: SparkSession, path: str, content: dict) -> bool:
-    """Write the file unless it exists; whether this call did."""
-    if not _claimed(spark, path):
+    """Write the file unless it exists; whether this call did. Nobody ever sees half a file.
+
+    The content goes to a hidden draft, which then gets the name: by a link on a local
+    disk, by a rename elsewhere, neither of which takes a name that is in use.
+    """
+    target, files = _path(spark, path)
+    if files.exists(target):
         return False
-    write_json(spark, path, content)
-    return True
+    files.mkdirs(target.getParent())
+    draft = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    _write(files, draft, content)
+    try:
+        if files.getScheme() != "file":
+            return files.rename(draft, target)
+        nio = spark._jvm.java.nio.file
+        try:
+            local = [spark._jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)]
+            nio.Files.createLink(*local)
+        except Py4JJavaError:
+            if files.exists(target):
+                return False
+            raise
+        return True
+    finally:
+        files.delete(draft, False)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
-    """Content of the file; None if there is none, or if its writer did not get to the end."""
+    """Content of the file; None if there is none, or if the writer that replaced it did not get to the end."""
     target, files = _path(spark, path)
     if not files.exists(target):
         return None
@@ -85,7 +95,7 @@ def take_number(spark: SparkSession, folder: str, content: Callable[[int], dict]
     """One more than the largest number taken in the folder, for this caller alone.
 
     Several callers may try the same number; one of them creates the file, the others
-    go on to the next. A number whose writer died stays taken and has no content.
+    go on to the next.
     """
     for _ in range(ATTEMPTS):
         number = max([0, *numbers(spark, folder)]) + 1

@@ -6,6 +6,7 @@ import math
 import random
 import re
 from datetime import date, datetime, timezone
+from fractions import Fraction
 from multiprocessing.pool import ThreadPool
 
 import pytest
@@ -16,6 +17,7 @@ from adperf.operators.decisions import RetrainPolicy
 from adperf.operators.layers import segment_ctr_daily, silver_impressions
 from adperf.plans import boosting, features, lifecycle, quality, registry, training
 from adperf.plans.predictions import COLUMNS
+from adperf.session import materialize
 from adperf.sources import commits, events
 from adperf.sources.tables import create_database, overwrite_table
 
@@ -176,14 +178,13 @@ def test_many_writers_get_numbers_of_their_own(spark):
     assert sorted(r["version"] for r in rows) == list(range(1, 25)) and len({r["run_id"] for r in rows}) == 24
 
 
-def test_a_number_without_content_stays_taken(spark):
+def test_files_that_exist_once(spark):
     folder = f"{spark.sparkContext.getCheckpointDir()}/numbers"
     assert commits.take_number(spark, folder, lambda n: {"n": n}) == 1
-    assert commits._claimed(spark, f"{folder}/0000000002.json")  # its writer died
-    assert commits.read_json(spark, f"{folder}/0000000002.json") is None
-    assert commits.take_number(spark, folder, lambda n: {"n": n}) == 3
+    commits.write_json(spark, f"{folder}/_draft-of-a-writer-that-died", {})
+    assert commits.take_number(spark, folder, lambda n: {"n": n}) == 2
     assert not commits.create_once(spark, f"{folder}/0000000001.json", {})
-    assert commits.read_json(spark, f"{folder}/0000000003.json") == {"n": 3}
+    assert commits.read_json(spark, f"{folder}/0000000002.json") == {"n": 2}
     assert commits.read_json(spark, f"{folder}/none.json") is None
 
 
@@ -263,3 +264,43 @@ def test_suggestions_are_seeded_inside_the_space_and_better_than_random():
     assert adaptive < 0.6 * plain
     # trials without a loss are no example to follow
     assert training.suggest(space, [(training.draw_params(space, random.Random(1)), None)] * 3, random.Random(2))
+
+
+def test_dictionary_encoding_equals_the_encoder(spark, frame):
+    names = features.FEATURE_SETS["fs_c_full"]
+    encoder = features.fit_encoder(frame, names)
+    odd = frame.limit(1).withColumns({"channel": training.F.lit("never seen"), "device": training.F.lit(None).cast("string")})
+    rows = frame.unionByName(odd)
+    dictionary = materialize(features.level_dictionary(frame, features.CATEGORICALS))
+    by_join = features.encode_by_dictionary(rows, dictionary, names)
+    assert by_join.columns == [*rows.columns, "features"]
+    keys = [*features.GRAIN, "features"]
+    text = lambda df: sorted(str(tuple(r)) for r in df.select(*keys).withColumn("features", vector_to_array("features")).collect())
+    assert text(by_join) == text(features.encode(rows, encoder))
+
+
+def test_many_levels_are_numbered_in_order_over_all_tasks(spark):
+    n = 300_000
+    frame = spark.range(0, n, 1, 8).select(
+        training.F.format_string("c%07d", training.F.col("id") * 7 % n).alias("campaign_id"),
+        training.F.when(training.F.col("id") % 3 == 0, "hot").otherwise(training.F.concat(training.F.lit("d"), training.F.col("id") % 5)).alias("device"),
+    )
+    found = materialize(features.level_dictionary(frame, ["campaign_id", "device"]))
+    campaigns = found.where("name = 'campaign_id'")
+    assert campaigns.count() == campaigns.select("index").distinct().count() == n
+    assert campaigns.where(training.F.col("level") != training.F.format_string("c%07d", training.F.col("index"))).count() == 0
+    assert [r["level"] for r in found.where("name = 'device'").orderBy("index").collect()] == ["d0", "d1", "d2", "d3", "d4", "hot"]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_r2_around_the_mean_is_exact_at_low_rates_and_large_weights(spark, partitions):
+    rng = random.Random(2)
+    rows = [(1e-6 + rng.uniform(-1e-11, 1e-11), 1e-6 + rng.uniform(-1e-11, 1e-11), rng.randint(1, 10**12)) for _ in range(400)]
+    exact = [(Fraction(y), Fraction(p), w) for y, p, w in rows]
+    mean = sum(y * w for y, _, w in exact) / sum(w for *_, w in exact)
+    wanted = 1 - sum(w * (p - y) ** 2 for y, p, w in exact) / sum(w * (y - mean) ** 2 for y, _, w in exact)
+    df = spark.createDataFrame(rows, "actual_ctr double, prediction double, impressions long").repartition(partitions)
+    df = df.withColumns({"is_drift_segment": training.F.lit(False), "is_drift_window": training.F.lit(False)})
+    assert training.evaluate(df)["r2"] == pytest.approx(float(wanted), rel=1e-9)
+    plain = df.agg(training.weighted_r2("actual_ctr", "prediction", "impressions").alias("r2")).first()["r2"]
+    assert plain != pytest.approx(float(wanted), rel=1e-9)  # what the center is for

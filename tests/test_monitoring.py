@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from adperf.operators.slices import drift_status, rolling_sums, slice_baseline, slice_daily
+from adperf.plans import monitoring
 from adperf.plans.monitoring import COLUMNS, MonitorConfig, monitoring_metrics
+from adperf.sources import day_tables
 
 PREDICTIONS = (
     "event_date date, channel string, device string, impressions bigint, actual_ctr double, "
@@ -131,3 +133,36 @@ def test_one_scan_two_shuffles_one_sort(predictions):
 def test_rolling_keeps_one_row_per_day_and_window(predictions):
     daily = slice_daily(predictions, ["channel"])
     assert rolling_sums(daily, [1, 7]).count() == 2 * daily.count()
+
+
+def test_stored_windows_equal_the_full_computation_after_late_days(spark, predictions):
+    """Days in any order, one corrected, one taken away; only windows within reach are rewritten."""
+    root = f"{spark.sparkContext.getCheckpointDir()}/windows-test"
+    days = sorted(r[0] for r in predictions.select("event_date").distinct().collect())
+    late, last = days[2], days[-1]
+
+    def rows(df):
+        digits = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        return sorted(str(tuple(r)) for r in df.select(*digits).drop("computed_at").collect())
+
+    def expect(df):
+        assert rows(monitoring.stored_metrics(spark, root, CONFIG)) == rows(monitoring_metrics(df, CONFIG))
+
+    first = [d for d in days if d not in (late, last)]
+    assert monitoring.refresh_windows(spark, predictions, root, first, CONFIG) == first
+    expect(predictions.where(F.col("event_date").isin(first)))
+    before = day_tables.manifest(spark, f"{root}/{monitoring.ROLLED}")["days"]
+    assert monitoring.refresh_windows(spark, predictions, root, [last], CONFIG) == [last]
+    ends = monitoring.refresh_windows(spark, predictions, root, [late], CONFIG)
+    assert ends == [d for d in days if late <= d < late + timedelta(28)]
+    after = day_tables.manifest(spark, f"{root}/{monitoring.ROLLED}")["days"]
+    assert all(after[d] == before[d] for d in before if date.fromisoformat(d) < late)
+    expect(predictions)
+    corrected = predictions.withColumn(
+        "impressions", F.when(F.col("event_date") == days[0], 3 * F.col("impressions")).otherwise(F.col("impressions"))
+    )
+    monitoring.refresh_windows(spark, corrected, root, [days[0]], CONFIG)
+    expect(corrected)
+    gone = corrected.where(F.col("event_date") != days[4])
+    monitoring.refresh_windows(spark, gone, root, [days[4]], CONFIG)
+    expect(gone)

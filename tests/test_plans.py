@@ -130,9 +130,9 @@ def test_hot_campaign_is_salted_and_nothing_is_lost(spark, hot_segments, monkeyp
         return sums, {r["campaign_id"]: r["ctr_gap_stale"] for r in worst.collect()}
 
     expected = total()
-    spread = hot_segments.where("campaign_id = 'hot'").groupBy(lookups.salt(GRAIN).alias("salt")).count().collect()
-    assert len(spread) == lookups.SALTS
-    assert max(row["count"] for row in spread) < 2 * 10_000 / lookups.SALTS
+    spread = hot_segments.where("campaign_id = 'hot'").groupBy(lookups.salt(GRAIN, 16).alias("salt")).count().collect()
+    assert len(spread) == 16
+    assert max(row["count"] for row in spread) < 2 * 10_000 / 16
     monkeypatch.setattr(lookups, "SMALL_TABLE_ROWS", 10)
     with settings(spark, **SPLIT):
         sums, gaps = total()
@@ -184,3 +184,28 @@ def test_rollup_combines_a_hot_key_before_the_shuffle(spark, hot_segments):
     plan = initial_plan(predictions.campaign_means(hot_segments))
     assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate")
     assert "partial_sum" in plan
+
+
+def test_hot_keys_are_split_by_their_share(spark):
+    """A key of a third and one of a hundredth get different splits; small keys and NULL none; the join equals the plain one."""
+    n = 30_000
+    key = (
+        F.when(F.col("id") % 3 == 0, F.lit("third")).when(F.col("id") % 100 == 1, F.lit("hundredth"))
+        .when(F.col("id") % 1000 == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("k"), F.col("id") % 4999))
+    )
+    fact = spark.range(0, n, 1, 8).select("id", key.alias("key"))
+    parts = 300
+    splits = {r["key"]: r["splits"] for r in lookups.hot_keys(fact, "key", parts).collect()}
+    assert set(splits) == {"third", "hundredth"}
+    assert splits["third"] == pytest.approx(parts / 3 * 2, rel=0.05) and splits["hundredth"] == pytest.approx(parts / 100 * 2, rel=0.4)
+    table = fact.where("key IS NOT NULL").select("key").distinct().withColumn("name", F.upper("key"))
+    with settings(spark, **{**SPLIT, "spark__sql__adaptive__enabled": "false", "spark__sql__shuffle__partitions": str(parts)}):
+        joined = lookups.lookup_join(fact, table, "key", ["id"], small_rows=0)
+        assert sorted(map(tuple, joined.select("id", "key", "name").collect())) == sorted(
+            map(tuple, fact.join(table, "key").select("id", "key", "name").collect())
+        )
+        sizes = joined.groupBy(F.spark_partition_id()).count().select("count")
+        most, mean = sizes.agg(F.max("count"), F.sum("count") / parts).first()
+        assert most < 4 * mean
+        plain = fact.join(table, "key").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert plain > 80 * mean
