@@ -17,10 +17,14 @@ share only changes the order.)
 
 Links are needed for groups, not for their own sake. First every class is compared
 with the nearest and the smallest of its surviving partners. Then cells whose
-classes are not all in one group yet give all surviving pairs between groups, so
-every link between different groups is found and none is dropped; pairs within one
-group are never enumerated. Two classes meet in all cells of the prefix shingles they
-share, so they are compared only where the shingles before it in their prefixes differ.
+classes are not all in one group yet are searched again for partners in other
+groups. Only the classes that have some there go on, now as points of ``FINE``
+groups, whose bound is nearly the overlap itself, and only pairs that this bound
+leaves are listed and verified. So every link between different groups is found and
+none is dropped, and pairs that share a passage without being near copies are never
+written. (Classes of more than ``LONG`` shingles keep their coarse points.) Two
+classes meet in all cells of the prefix shingles they share, so they are compared
+only where the shingles before it in their prefixes differ.
 
 Digests of shingles and sets have 64 bits.
 
@@ -45,28 +49,45 @@ from ..session import materialize
 from . import common
 
 GROUPS, LEAF = 128, 32
+FINE, LONG = 1 << 16, 8192
 BITS = 24
 OFTEN = 20
+#: Rows of points, and words of fine points, that a search gathers at once.
+GATHERED = 1 << 17
 
 
-def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+def _joined(digests: np.ndarray, size: int) -> np.ndarray:
+    """Digests of all windows of ``size`` words."""
+    count = max(0, len(digests) - size + 1)
+    joint = np.full(count, size, np.uint64)
+    for k in range(size):
+        joint = common.mix(joint * np.uint64(0xD6E8FEB86659FD93) + digests[k : count + k])
+    return joint
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct shingle digests of each text; a shorter text is one shingle of all its words."""
-    split = [text.encode().lower().split() for text in texts]
-    coded = pa.array([w for found in split for w in found], pa.binary()).dictionary_encode()
-    digest = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    every = digest[coded.indices.to_numpy()] if len(digest) else digest
-    sets, at = [], 0
-    for found in split:
-        own = every[at : at + len(found)]
-        at += len(found)
-        size = min(words, len(own))
-        if not size:
-            sets.append(own)
+    split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    known = coded.dictionary
+    data, ends = known.buffers()[2], np.frombuffer(known.buffers()[1], "<i4")[known.offset : known.offset + len(known) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    digest = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])]
+    codes, at = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    empty = known.index("").as_py()  # white space at an end of a text leaves an empty word
+    if empty >= 0:
+        at = np.concatenate([[0], np.cumsum(codes != empty)])[at]
+        codes = codes[codes != empty]
+    every = np.array(digest, np.uint64)[codes]
+    windows = _joined(every, words)
+    sets = []
+    for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
+        if end - start < words:
+            sets.append(_joined(every[start:end], end - start)[: end - start])
             continue
-        joint = np.full(len(own) - size + 1, size, np.uint64)
-        for k in range(size):
-            joint = common.mix(joint * np.uint64(0xD6E8FEB86659FD93) + own[k : len(own) - size + 1 + k])
-        sets.append(np.unique(joint))
+        own = np.sort(windows[start : end - words + 1])
+        sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
     return sets
 
 
@@ -77,7 +98,7 @@ def class_of(own: np.ndarray) -> int:
 def prefix(own: np.ndarray, percent: int, often: np.ndarray | None) -> np.ndarray:
     size = len(own) - -(-percent * len(own) // 100) + 1
     if often is not None:
-        late = marked(often, own >> np.uint64(64 - BITS))
+        late = marked(often, own)
         if late[:size].any():
             own = np.concatenate([own[~late], own[late]])
     return own[:size]
@@ -90,10 +111,10 @@ def point(own: np.ndarray) -> bytes:
 
 
 def bit_map(rows: DataFrame, column: str) -> np.ndarray:
-    """Marks the high bits of a 64-bit column; the driver gets 2^BITS bits whatever the number of rows."""
-    high = F.shiftrightunsigned(F.col(column), 64 - BITS)
-    words = rows.groupBy(F.shiftright(high, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITS}) & 63 AS INT))")).alias("bits")
+    """Marks the low bits of a 64-bit column; the driver gets 2^BITS bits whatever the number of rows."""
+    low = F.col(column).bitwiseAND((1 << BITS) - 1)
+    words = rows.groupBy(F.shiftright(low, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 AS INT))")).alias("bits")
     ).collect()
     out = np.zeros(1 << (BITS - 6), np.int64)
     for r in words:
@@ -101,8 +122,8 @@ def bit_map(rows: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def marked(bits: np.ndarray, high: np.ndarray) -> np.ndarray:
-    at = high.astype(np.int64)
+def marked(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    at = (digests & np.uint64((1 << BITS) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -111,7 +132,7 @@ def _read_sets(words: int, percent: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
-            sets = shingle_sets(block.column("text").to_pylist(), words)
+            sets = shingle_sets(block.column("text"), words)
             classes = np.array([class_of(s) for s in sets], np.int64)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([
@@ -133,7 +154,7 @@ def _read_sets(words: int, percent: int):
 def _prefixes(words: int, percent: int, often):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
-            sets = {class_of(s): s for s in shingle_sets(block.column("text").to_pylist(), words) if len(s)}
+            sets = {class_of(s): s for s in shingle_sets(block.column("text"), words) if len(s)}
             keys = [prefix(s, percent, often.value) for s in sets.values()]
             if keys:
                 lengths = [len(k) for k in keys]
@@ -154,10 +175,10 @@ def _wanted_sets(words: int, wanted):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            high = batch.column("row_key").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
-            chosen = batch.take(pa.array(np.flatnonzero(marked(wanted.value, high))))
+            keys = batch.column("row_key").to_numpy().view(np.uint64)
+            chosen = batch.take(pa.array(np.flatnonzero(marked(wanted.value, keys))))
             for block in common.blocks(iter([chosen])):
-                sets = shingle_sets(block.column("text").to_pylist(), words)
+                sets = shingle_sets(block.column("text"), words)
                 yield pa.RecordBatch.from_arrays(
                     [block.column("row_key"), pa.array([s.tobytes() for s in sets], pa.binary())], ["row_key", "shingles"]
                 )
@@ -222,8 +243,9 @@ class CountTree:
     def pairs(self, before: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Surviving pairs (earlier, later) in order of size that differ in ``before``, and in ``group`` if given."""
         count = len(self.low[0])
-        for first in range(0, count, 64):
-            q = np.arange(first, min(first + 64, count))
+        step = max(1, min(64, GATHERED // count))
+        for first in range(0, count, step):
+            q = np.arange(first, min(first + step, count))
             top = len(self.upper) - 1
             nodes = np.tile(np.arange(len(self.upper[top])), len(q))
             q = np.repeat(q, len(self.upper[top]))
@@ -308,13 +330,79 @@ def _partners(percent: int):
     return search
 
 
+def _between(percent: int):
+    """The rows of a cell that have a surviving partner in another group."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches):
+            open_rows = np.zeros(batch.num_rows, bool)
+            for a, b in surviving(batch, points_of(batch), percent, batch.column("label").to_numpy()):
+                open_rows[a] = open_rows[b] = True
+            yield batch.select(["key", "class", "before", "label", "n", "point"]).filter(pa.array(open_rows))
+
+    return search
+
+
+def fine_point(shingles: bytes) -> bytes | None:
+    """The groups of the shingles among ``FINE``, in order; longer sets have none."""
+    own = np.frombuffer(shingles, "<u8")
+    return np.sort((own & np.uint64(FINE - 1)).astype("<u2")).tobytes() if len(own) <= LONG else None
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("class"), pa.array([fine_point(s) for s in batch.column("shingles").to_pylist()], pa.binary())],
+            ["class", "fine"],
+        )
+
+
+class FinePoints:
+    """Sparse points of ``FINE`` groups of many rows; the k-th shingle of a group counts as a coordinate of its own."""
+
+    def __init__(self, found: list[bytes | None], sizes: np.ndarray, percent: int):
+        self.percent, self.sizes = percent, sizes
+        self.known = np.array([f is not None for f in found], bool)
+        groups = np.frombuffer(b"".join(f or b"" for f in found), "<u2").astype(np.int64)
+        self.lengths = np.array([len(f or b"") // 2 for f in found], np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        at = np.repeat(np.arange(len(found)), self.lengths) * FINE + groups
+        new = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+        start = np.flatnonzero(new)
+        again = np.arange(len(at)) - np.repeat(start, np.diff([*start, len(at)]))
+        self.coordinates = groups * LONG + again
+        self.every = np.repeat(np.arange(len(found)), self.lengths) * (FINE * LONG) + self.coordinates
+
+    def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs the sum of the coordinate minima leaves possible."""
+        kept = np.ones(len(a), bool)
+        asked = np.flatnonzero(self.known[a] & self.known[b])
+        ends = np.cumsum(self.lengths[b[asked]])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, GATHERED * 8)))
+        for part in np.split(asked, cuts[1:]):
+            one, two = a[part], b[part]
+            length = self.lengths[two]
+            pair = np.repeat(np.arange(len(part)), length)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(length) - length, length) + self.first[two][pair]
+            sought = one[pair] * (FINE * LONG) + self.coordinates[at]
+            place = np.minimum(np.searchsorted(self.every, sought), len(self.every) - 1)
+            most = np.bincount(pair, self.every[place] == sought, len(part)).astype(np.int64) if len(pair) else 0
+            kept[part] = (100 + self.percent) * most >= self.percent * (self.sizes[one] + self.sizes[two])
+        return kept
+
+
 def _pairs_between(percent: int):
-    """Surviving pairs of classes whose groups differ, each once per batch."""
+    """Pairs of classes whose groups differ that their fine points leave possible, each once per batch."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches):
             owner, group = batch.column("class").to_numpy(), batch.column("label").to_numpy()
-            found = [(owner[a], owner[b]) for a, b in surviving(batch, points_of(batch), percent, group) if len(a)]
+            fine = FinePoints(batch.column("fine").to_pylist(), batch.column("n").to_numpy(), percent)
+            found = []
+            for a, b in surviving(batch, points_of(batch), percent, group):
+                near = fine.reach(a, b)
+                if near.any():
+                    found.append((owner[a[near]], owner[b[near]]))
             if found:
                 one, two = (np.concatenate(side) for side in zip(*found))
                 pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
@@ -394,25 +482,33 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
     )
 
+    # Every class that has a surviving partner anywhere is in one of these pairs, so their sets are read once.
+    asked = first.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    chosen = materialize(asked.join(classes, "class").select("class", "row_key"))
+    wanted = spark.sparkContext.broadcast(bit_map(chosen, "row_key"))
+    sets = materialize(
+        read.select("row_key", "text").mapInArrow(_wanted_sets(words, wanted), "row_key long, shingles binary")
+        .join(common.broadcast_if_small(chosen, F.lit(16)), "row_key").select("class", "shingles").dropDuplicates(["class"])
+    )
+
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        chosen = materialize(asked.join(classes, "class").select("class", "row_key"))
-        wanted = spark.sparkContext.broadcast(bit_map(chosen, "row_key"))
-        sets = materialize(
-            read.select("row_key", "text").mapInArrow(_wanted_sets(words, wanted), "row_key long, shingles binary")
-            .join(common.broadcast_if_small(chosen, F.lit(16)), "row_key").select("class", "shingles").dropDuplicates(["class"])
-        )
         one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
         two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
         return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(_reached(percent), "a long, b long"))
 
     links = verified(first)
     labels = groups(links)
-    labels = common.broadcast_if_small(labels, F.lit(16))
-    labelled = cells.join(labels, "class", "left").select("key", "class", "before", F.coalesce("label", "class").alias("label"))
+    labelled = cells.join(common.broadcast_if_small(chosen.select("class"), F.lit(8)), "class").join(
+        common.broadcast_if_small(labels, F.lit(16)), "class", "left"
+    ).select("key", "class", "before", F.coalesce("label", "class").alias("label"))
     open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
-    between = in_cells(labelled.join(open_keys, "key"), _pairs_between(percent), "a long, b long")
-    second = materialize(between.distinct().join(first, ["a", "b"], "left_anti"))
+    row = "key long, class long, before long, label long, n long, point binary"
+    between = materialize(in_cells(labelled.join(open_keys, "key"), _between(percent), row))
+    second = materialize(
+        between.join(sets.mapInArrow(_fine, "class long, fine binary"), "class")
+        .repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs_between(percent), "a long, b long")
+        .distinct().join(first, ["a", "b"], "left_anti")
+    )
     links = links.union(verified(second))
     grouped = classes.select("class", "doc_id").join(groups(links), "class", "left").select(
         "class", "doc_id", F.coalesce("label", "class").alias("label")
