@@ -17,14 +17,12 @@ share only changes the order.)
 
 Links are needed for groups, not for their own sake. First every class is compared
 with the nearest and the smallest of its surviving partners. Then cells whose
-classes are not all in one group yet are searched again for partners in other
-groups. Only the classes that have some there go on, now as points of ``FINE``
-groups, whose bound is nearly the overlap itself, and only pairs that this bound
-leaves are listed and verified. So every link between different groups is found and
-none is dropped, and pairs that share a passage without being near copies are never
-written. (Classes of more than ``LONG`` shingles keep their coarse points.) Two
-classes meet in all cells of the prefix shingles they share, so they are compared
-only where the shingles before it in their prefixes differ.
+classes are not all in one group yet give all surviving pairs between groups, so
+every link between different groups is found and none is dropped; pairs within one
+group are not enumerated again. Classes without a surviving partner are left out
+then, and sets are read once, for those that have one. Two classes meet in all cells
+of the prefix shingles they share, so they are compared only where the shingles
+before it in their prefixes differ.
 
 Digests of shingles and sets have 64 bits.
 
@@ -49,10 +47,9 @@ from ..session import materialize
 from . import common
 
 GROUPS, LEAF = 128, 32
-FINE, LONG = 1 << 16, 8192
 BITS = 24
 OFTEN = 20
-#: Rows of points, and words of fine points, that a search gathers at once.
+#: Points of a tree's lowest level that a search gathers at once, or one level if it has more.
 GATHERED = 1 << 17
 
 
@@ -330,79 +327,13 @@ def _partners(percent: int):
     return search
 
 
-def _between(percent: int):
-    """The rows of a cell that have a surviving partner in another group."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_key(batches):
-            open_rows = np.zeros(batch.num_rows, bool)
-            for a, b in surviving(batch, points_of(batch), percent, batch.column("label").to_numpy()):
-                open_rows[a] = open_rows[b] = True
-            yield batch.select(["key", "class", "before", "label", "n", "point"]).filter(pa.array(open_rows))
-
-    return search
-
-
-def fine_point(shingles: bytes) -> bytes | None:
-    """The groups of the shingles among ``FINE``, in order; longer sets have none."""
-    own = np.frombuffer(shingles, "<u8")
-    return np.sort((own & np.uint64(FINE - 1)).astype("<u2")).tobytes() if len(own) <= LONG else None
-
-
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("class"), pa.array([fine_point(s) for s in batch.column("shingles").to_pylist()], pa.binary())],
-            ["class", "fine"],
-        )
-
-
-class FinePoints:
-    """Sparse points of ``FINE`` groups of many rows; the k-th shingle of a group counts as a coordinate of its own."""
-
-    def __init__(self, found: list[bytes | None], sizes: np.ndarray, percent: int):
-        self.percent, self.sizes = percent, sizes
-        self.known = np.array([f is not None for f in found], bool)
-        groups = np.frombuffer(b"".join(f or b"" for f in found), "<u2").astype(np.int64)
-        self.lengths = np.array([len(f or b"") // 2 for f in found], np.int64)
-        self.first = np.cumsum(self.lengths) - self.lengths
-        at = np.repeat(np.arange(len(found)), self.lengths) * FINE + groups
-        new = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
-        start = np.flatnonzero(new)
-        again = np.arange(len(at)) - np.repeat(start, np.diff([*start, len(at)]))
-        self.coordinates = groups * LONG + again
-        self.every = np.repeat(np.arange(len(found)), self.lengths) * (FINE * LONG) + self.coordinates
-
-    def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs the sum of the coordinate minima leaves possible."""
-        kept = np.ones(len(a), bool)
-        asked = np.flatnonzero(self.known[a] & self.known[b])
-        ends = np.cumsum(self.lengths[b[asked]])
-        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, GATHERED * 8)))
-        for part in np.split(asked, cuts[1:]):
-            one, two = a[part], b[part]
-            length = self.lengths[two]
-            pair = np.repeat(np.arange(len(part)), length)
-            at = np.arange(len(pair)) - np.repeat(np.cumsum(length) - length, length) + self.first[two][pair]
-            sought = one[pair] * (FINE * LONG) + self.coordinates[at]
-            place = np.minimum(np.searchsorted(self.every, sought), len(self.every) - 1)
-            most = np.bincount(pair, self.every[place] == sought, len(part)).astype(np.int64) if len(pair) else 0
-            kept[part] = (100 + self.percent) * most >= self.percent * (self.sizes[one] + self.sizes[two])
-        return kept
-
-
 def _pairs_between(percent: int):
-    """Pairs of classes whose groups differ that their fine points leave possible, each once per batch."""
+    """Surviving pairs of classes whose groups differ, each once per batch."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches):
             owner, group = batch.column("class").to_numpy(), batch.column("label").to_numpy()
-            fine = FinePoints(batch.column("fine").to_pylist(), batch.column("n").to_numpy(), percent)
-            found = []
-            for a, b in surviving(batch, points_of(batch), percent, group):
-                near = fine.reach(a, b)
-                if near.any():
-                    found.append((owner[a[near]], owner[b[near]]))
+            found = [(owner[a], owner[b]) for a, b in surviving(batch, points_of(batch), percent, group) if len(a)]
             if found:
                 one, two = (np.concatenate(side) for side in zip(*found))
                 pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
@@ -502,13 +433,8 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
         common.broadcast_if_small(labels, F.lit(16)), "class", "left"
     ).select("key", "class", "before", F.coalesce("label", "class").alias("label"))
     open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
-    row = "key long, class long, before long, label long, n long, point binary"
-    between = materialize(in_cells(labelled.join(open_keys, "key"), _between(percent), row))
-    second = materialize(
-        between.join(sets.mapInArrow(_fine, "class long, fine binary"), "class")
-        .repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs_between(percent), "a long, b long")
-        .distinct().join(first, ["a", "b"], "left_anti")
-    )
+    between = in_cells(labelled.join(open_keys, "key"), _pairs_between(percent), "a long, b long")
+    second = materialize(between.distinct().join(first, ["a", "b"], "left_anti"))
     links = links.union(verified(second))
     grouped = classes.select("class", "doc_id").join(groups(links), "class", "left").select(
         "class", "doc_id", F.coalesce("label", "class").alias("label")
