@@ -21,9 +21,11 @@ import math
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel
@@ -107,28 +109,33 @@ class _Features:
         ]).astype(int)
         self.threshold = np.concatenate([np.full(sum(sizes), 0.5), *bounds])
         self.slots = sum(sizes) + len(bounds)
-
-    def right_sums(self, codes: np.ndarray, node: np.ndarray, nodes: int, values: np.ndarray) -> np.ndarray:
-        """Sum of ``values`` that would go right, for every node and candidate."""
-        out = []
-        for k, size in enumerate([*self.sizes, *[len(b) for b in self.bounds]]):
-            table = np.bincount(node * (size + 1) + np.minimum(codes[:, k], size), values, nodes * (size + 1)).reshape(nodes, size + 1)
-            if k < len(self.sizes):
-                out.append(table[:, :size])
-            else:  # beyond the threshold: all later bins
-                out.append(np.cumsum(table[:, ::-1], axis=1)[:, ::-1][:, 1:])
-        return np.concatenate(out, axis=1)
-
-    def goes_right(self, codes: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-        """Whether each row goes right at its own candidate."""
-        right = np.zeros(len(codes), bool)
-        start = 0
+        spans = [*sizes, *[len(b) for b in bounds]]
+        self.feature = np.repeat(np.arange(len(spans)), spans)
+        self.place = np.concatenate([np.arange(span) for span in spans]).astype(int)
+
+    def columns(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The codes feature by feature, each in one piece of memory; unknown levels share the place after the last."""
+        spans = [*self.sizes, *[len(b) for b in self.bounds]]
+        return [np.minimum(codes[:, k], size) for k, size in enumerate(spans)]
+
+    def right_sums(self, columns: list[np.ndarray], node: np.ndarray, nodes: int, *values: np.ndarray) -> list[np.ndarray]:
+        """Sums of each of ``values`` that would go right, for every node and candidate."""
+        out = [[] for _ in values]
         for k, size in enumerate([*self.sizes, *[len(b) for b in self.bounds]]):
-            here = (candidate >= start) & (candidate < start + size)
-            at = candidate[here] - start
-            right[here] = codes[here, k] == at if k < len(self.sizes) else codes[here, k] > at
-            start += size
-        return right
+            place = node * (size + 1) + columns[k]
+            for found, value in zip(out, values):
+                table = np.bincount(place, value, nodes * (size + 1)).reshape(nodes, size + 1)
+                if k < len(self.sizes):
+                    found.append(table[:, :size])
+                else:  # beyond the threshold: all later bins
+                    found.append(np.cumsum(table[:, ::-1], axis=1)[:, ::-1][:, 1:])
+        return [np.concatenate(found, axis=1) for found in out]
+
+    def goes_right(self, codes: np.ndarray, rows: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+        """Whether each of ``rows`` goes right at its own candidate."""
+        feature, at = self.feature[candidate], self.place[candidate]
+        code = codes[rows, feature]
+        return np.where(feature < len(self.sizes), code == at, code > at)
 
 
 def grow(codes: np.ndarray, w: np.ndarray, wy: np.ndarray, wyy: np.ndarray, features: _Features, params: dict, seed: int):
@@ -142,6 +149,7 @@ def grow(codes: np.ndarray, w: np.ndarray, wy: np.ndarray, wyy: np.ndarray, feat
     least = LEAST_GAIN * max(wyy.sum() - mean * wy.sum(), 0.0)
     trees = [[(0, 0, mean, w.sum(), wy.sum(), wyy.sum(), 0.0, -1.0, -1, -1, -1, 0.0)]]
     all_w, all_wy, all_wyy = w.sum(1), wy.sum(1), wyy.sum(1)
+    columns = features.columns(codes)
     for tree in range(1, int(params["n_estimators"]) + 1):
         if take < BUCKETS:
             chosen = rng.permutation(BUCKETS)[:take]
@@ -169,8 +177,8 @@ def grow(codes: np.ndarray, w: np.ndarray, wy: np.ndarray, wyy: np.ndarray, feat
             best = np.full(count, -1)
             gain = np.full(count, -1.0)
             if level < depth and open_candidates.any():
-                right_w = features.right_sums(codes[live], at, count, tw[live])
-                right_g = features.right_sums(codes[live], at, count, g[live])
+                own = columns if live.all() else [column[live] for column in columns]
+                right_w, right_g = features.right_sums(own, at, count, tw[live], g[live])
                 left_w, left_g = weight[:, None] - right_w, total[:, None] - right_g
                 score = left_g**2 / (left_w + LAMBDA) + right_g**2 / (right_w + LAMBDA) - (total**2 / (weight + LAMBDA))[:, None]
                 score[(np.minimum(left_w, right_w) < LEAST_WEIGHT) | ~open_candidates[None, :]] = -np.inf
@@ -193,7 +201,7 @@ def grow(codes: np.ndarray, w: np.ndarray, wy: np.ndarray, wyy: np.ndarray, feat
                 break
             moving = np.flatnonzero(live)[split[at]]
             here = node[moving] - first
-            node[moving] = children[here] + features.goes_right(codes[moving], best[here])
+            node[moving] = children[here] + features.goes_right(codes, moving, best[here])
             first, count = first + count, 2 * int(split.sum())
         values = np.array([records[k][2] for k in range(len(records))])
         guess = guess + rate * values[node]
@@ -216,7 +224,10 @@ def _fit(job: str, table: pd.DataFrame, features: _Features, params: dict, seed:
 
 
 def fit_models(frame: DataFrame, jobs: Iterable[Job]) -> dict[str, GBTRegressionModel | None]:
-    """Fit all jobs on ``frame`` in one Spark job; None for those whose cells are too many for a task."""
+    """Fit all jobs on ``frame`` side by side, a Spark job each; None for those whose cells are too many for a task.
+
+    In one Spark job the few small groups would be merged into one task and grown one after another.
+    """
     jobs, parts, shapes, numeric_bounds = list(jobs), [], {}, {}
     for job in jobs:
         indexer, numeric = _columns(job.encoder)
@@ -230,20 +241,23 @@ def fit_models(frame: DataFrame, jobs: Iterable[Job]) -> dict[str, GBTRegression
         every = every.unionByName(part)
     stored = materialize(every)
     counts = {row["job"]: row["count"] for row in stored.groupBy("job").count().collect()}
-    small = [job.name for job in jobs if 0 < counts.get(job.name, 0) <= MOST_CELLS]
+    spark = frame.sparkSession
 
-    def fit(key, table: pd.DataFrame) -> pd.DataFrame:
-        sizes, bounds, params, seed = shapes[key[0]]
-        return _fit(key[0], table, _Features(sizes, bounds), params, seed)
+    def model(job: Job) -> GBTRegressionModel | None:
+        if not 0 < counts.get(job.name, 0) <= MOST_CELLS:
+            return None
+        sizes, bounds, params, seed = shapes[job.name]
 
-    nodes = materialize(stored.where(F.col("job").isin(small)).groupBy("job").applyInPandas(fit, NODES))
-    spark = frame.sparkSession
-    models = {
-        job.name: as_model(spark, nodes.where(F.col("job") == job.name), job, len(slot_names(job.encoder))) if job.name in small else None
-        for job in jobs
-    }
-    discard(stored, nodes)
-    return models
+        def fit(key, table: pd.DataFrame) -> pd.DataFrame:
+            return _fit(key[0], table, _Features(sizes, bounds), params, seed)
+
+        nodes = stored.where(F.col("job") == job.name).groupBy("job").applyInPandas(fit, NODES)
+        return as_model(spark, nodes, job, len(slot_names(job.encoder)))
+
+    with ThreadPool(max(1, len(jobs))) as pool:
+        models = pool.map(inheritable_thread_target(spark)(model), jobs, chunksize=1)
+    discard(stored)
+    return {job.name: found for job, found in zip(jobs, models)}
 
 
 def collapsed(frame: DataFrame, encoded_weight: str) -> DataFrame:

@@ -146,7 +146,7 @@ def suggest(
 
 
 def fit_all(rows: DataFrame, jobs: list[boosting.Job]) -> dict[str, GBTRegressionModel]:
-    """Fit all jobs on the same rows: from cells in one Spark job, or by Spark ML where the cells are too many."""
+    """Fit all jobs on the same rows: from cells side by side, or by Spark ML where the cells are too many."""
     models = boosting.fit_models(rows, jobs)
     for job in jobs:
         if models[job.name] is None:
@@ -219,7 +219,7 @@ def train_stale(frame: DataFrame, params: dict = STALE_PARAMS, seed: int = 42) -
 def search(ready: DataFrame, config: TrainingConfig) -> list[dict]:
     """Trials of every feature set, round by round; one record per trial.
 
-    The trials of a round, one for each feature set, are fitted in one Spark job. The
+    The trials of a round, one for each feature set, are fitted side by side. The
     next round's parameters are drawn from the finished trials of the same feature
     set. Only the metrics come back to the driver.
     """

@@ -8,6 +8,7 @@ import re
 from datetime import date, datetime, timezone
 from fractions import Fraction
 from multiprocessing.pool import ThreadPool
+from threading import Barrier
 
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -238,6 +239,26 @@ def test_boosting_finds_the_rule_and_equals_plain_boosting(spark):
     assert named["channel_a"] + named["impressions"] == pytest.approx(1.0)
 
 
+def test_models_of_a_round_are_fitted_side_by_side(spark, frame, monkeypatch):
+    """Each model waits for the others; grown one after another they would never meet."""
+    together, plain = Barrier(3, timeout=60), boosting.as_model
+
+    def meeting(*args):
+        together.wait()
+        return plain(*args)
+
+    ready = training.prepared(frame)
+    jobs = [
+        boosting.Job(name, features.fit_encoder(ready, names), TINY_STALE, "train_weight", 3)
+        for name, names in features.FEATURE_SETS.items()
+    ]
+    alone = {job.name: boosting.fit_models(ready, [job])[job.name].toDebugString for job in jobs}
+    monkeypatch.setattr(boosting, "as_model", meeting)
+    trees = lambda text: text.split("\n", 1)[1]  # noqa: E731  without the uid
+    found = boosting.fit_models(ready, jobs)
+    assert {name: trees(model.toDebugString) for name, model in found.items()} == {k: trees(v) for k, v in alone.items()}
+
+
 def test_cells_beyond_the_bound_are_fitted_by_spark_ml(spark, frame, monkeypatch):
     monkeypatch.setattr(boosting, "MOST_CELLS", 5)
     ready = training.prepared(frame)
