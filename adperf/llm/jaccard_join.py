@@ -22,7 +22,9 @@ every link between different groups is found and none is dropped; pairs within o
 group are not enumerated again. Classes without a surviving partner are left out
 then, and sets are read once, for those that have one. Two classes meet in all cells
 of the prefix shingles they share, so they are compared only where the shingles
-before it in their prefixes differ.
+before it in their prefixes differ, and where enough of both is left from there on:
+in the first cell that they share, nothing before it is common. A task gives each
+pair once, whatever the number of its cells.
 
 Digests of shingles and sets have 64 bits.
 
@@ -51,6 +53,8 @@ BITS = 24
 OFTEN = 20
 #: Points of a tree's lowest level that a search gathers at once, or one level if it has more.
 GATHERED = 1 << 17
+#: Pairs of classes that a task holds to give each of them once.
+HELD = 1 << 20
 
 
 def _joined(digests: np.ndarray, size: int) -> np.ndarray:
@@ -160,8 +164,9 @@ def _prefixes(words: int, percent: int, often):
                 before = np.concatenate([every[:1], every[:-1]])
                 first = np.cumsum([0, *lengths[:-1]])
                 before[first] = owner[first]
+                place = np.arange(len(every)) - np.repeat(first, lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(every), pa.array(owner), pa.array(before)], ["key", "class", "before"]
+                    [pa.array(column) for column in (every, owner, before, place)], ["key", "class", "before", "place"]
                 )
 
     return read
@@ -208,12 +213,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _by_key(batches):
         key, owner = batch.column("key").to_numpy(), batch.column("class").to_numpy()
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-        key, owner, before = key[new], owner[new], batch.column("before").to_numpy()[new]
+        key, owner = key[new], owner[new]
+        before, place = (batch.column(c).to_numpy()[new] for c in ("before", "place"))
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.repeat(np.diff([*start, len(key)]), np.diff([*start, len(key)])) > 1
         if many.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[many]), pa.array(owner[many]), pa.array(before[many])], ["key", "class", "before"]
+                [pa.array(column[many]) for column in (key, owner, before, place)], ["key", "class", "before", "place"]
             )
 
 
@@ -276,8 +282,12 @@ def points_of(batch: pa.RecordBatch) -> np.ndarray:
 def surviving(
     batch: pa.RecordBatch, points: np.ndarray, percent: int, group: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of each cell that the points leave possible. Cells of one small size are searched side by side."""
-    key, size, before = (batch.column(c).to_numpy() for c in ("key", "n", "before"))
+    """Row pairs of each cell that the points and places leave possible. Cells of one small size are searched side by side.
+
+    In the first cell that two classes share, all that they share comes from there on.
+    """
+    key, size, before, place = (batch.column(c).to_numpy() for c in ("key", "n", "before", "place"))
+    rest = size - place
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     members = np.diff([*start, len(key)])
     for count in np.unique(members[members <= LEAF]):
@@ -288,13 +298,17 @@ def surviving(
             a, b = a[asked], b[asked]
             near = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
             a, b = a[near], b[near]
+            late = (100 + percent) * np.minimum(rest[a], rest[b]) < percent * (size[a] + size[b])
+            a, b = a[~late], b[~late]
             kept = (100 + percent) * shared(points[a], points[b]) >= percent * (size[a] + size[b])
             yield a[kept], b[kept]
     for first, count in zip(start[members > LEAF], members[members > LEAF]):
         order = first + np.argsort(size[first : first + count], kind="stable")
         tree = CountTree(points[order], size[order], percent)
         for a, b in tree.pairs(before[order], None if group is None else group[order]):
-            yield order[a], order[b]
+            a, b = order[a], order[b]
+            kept = (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (size[a] + size[b])
+            yield a[kept], b[kept]
 
 
 def _partners(percent: int):
@@ -328,16 +342,20 @@ def _partners(percent: int):
 
 
 def _pairs_between(percent: int):
-    """Surviving pairs of classes whose groups differ, each once per batch."""
+    """Surviving pairs of classes whose groups differ, each once per task as long as ``HELD`` pairs can be held."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((2, 0), np.int64)
         for batch in _by_key(batches):
             owner, group = batch.column("class").to_numpy(), batch.column("label").to_numpy()
             found = [(owner[a], owner[b]) for a, b in surviving(batch, points_of(batch), percent, group) if len(a)]
             if found:
                 one, two = (np.concatenate(side) for side in zip(*found))
-                pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                held = np.unique(np.concatenate([held, np.stack([np.minimum(one, two), np.maximum(one, two)])], axis=1), axis=1)
+            if held.shape[1] > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["a", "b"])
+                held = held[:, :0]
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["a", "b"])
 
     return search
 
@@ -392,9 +410,9 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     counted = table.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     often = spark.sparkContext.broadcast(bit_map(counted.where(F.col("times") > OFTEN), "key"))
     cells = materialize(
-        read.select("text").mapInArrow(_prefixes(words, percent, often), "key long, class long, before long")
+        read.select("text").mapInArrow(_prefixes(words, percent, often), "key long, class long, before long, place long")
         .repartition(parts, "key").sortWithinPartitions("key", "class")
-        .mapInArrow(_shared, "key long, class long, before long")
+        .mapInArrow(_shared, "key long, class long, before long, place long")
     )
     classes = materialize(own.where(F.col("n") > 0).groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"),
@@ -431,7 +449,7 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     labels = groups(links)
     labelled = cells.join(common.broadcast_if_small(chosen.select("class"), F.lit(8)), "class").join(
         common.broadcast_if_small(labels, F.lit(16)), "class", "left"
-    ).select("key", "class", "before", F.coalesce("label", "class").alias("label"))
+    ).select("key", "class", "before", "place", F.coalesce("label", "class").alias("label"))
     open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
     between = in_cells(labelled.join(open_keys, "key"), _pairs_between(percent), "a long, b long")
     second = materialize(between.distinct().join(first, ["a", "b"], "left_anti"))

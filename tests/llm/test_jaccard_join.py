@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adperf.llm import common, jaccard_join, queries
@@ -99,6 +100,24 @@ def test_tree_loses_no_pair(count):
         assert all((i, int(j)) in found for j in want)
 
 
+def cells(places):
+    """A batch for each cell of two classes of 100 shingles with equal points, from their places there."""
+    point = np.full(jaccard_join.GROUPS, 1, "u1").tobytes()
+    for key, (one, two) in enumerate(places):
+        yield pa.RecordBatch.from_pydict({
+            "key": [key, key], "class": [1, 2], "before": [2 * key, 2 * key + 1], "place": [one, two],
+            "label": [1, 2], "n": [100, 100], "point": [point, point],
+        })
+
+
+def test_a_pair_is_asked_where_enough_is_left_and_given_once_per_task():
+    given = lambda places: [p for b in jaccard_join._pairs_between(80)(cells(places)) for p in zip(*b.to_pydict().values())]
+    assert given([(0, 0), (5, 4), (7, 9), (11, 11)]) == [(1, 2)]
+    assert given([(12, 3), (3, 12), (15, 15)]) == []  # 89 of 100 have to be shared
+    partners = jaccard_join._partners(80)
+    assert sum(b.num_rows for b in partners(cells([(11, 11)]))) == 2 and not sum(b.num_rows for b in partners(cells([(12, 0)])))
+
+
 def test_one_row_of_a_group_stays_whatever_the_ids(spark):
     def versions(name, count):
         words = [f"{name}{k}" for k in range(200)]
