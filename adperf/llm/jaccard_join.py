@@ -23,8 +23,11 @@ group are not enumerated again. Classes without a surviving partner are left out
 then, and sets are read once, for those that have one. Two classes meet in all cells
 of the prefix shingles they share, so they are compared only where the shingles
 before it in their prefixes differ, and where enough of both is left from there on:
-in the first cell that they share, nothing before it is common. A task gives each
-pair once, whatever the number of its cells.
+in the first cell that they share, nothing before it is common. A finer point is
+asked last there: one bit per group, set if its count is odd, with at least ``FINE``
+groups per shingle up to ``MOST_FINE`` of them. Each bit in which two classes differ is
+a shingle that only one of them has, so pairs that share their coarse counts by chance
+are not listed. A task gives each pair once, whatever the number of its cells.
 
 Digests of shingles and sets have 64 bits.
 
@@ -53,6 +56,10 @@ BITS = 24
 OFTEN = 20
 #: Points of a tree's lowest level that a search gathers at once, or one level if it has more.
 GATHERED = 1 << 17
+#: Groups per shingle of the finer points, and the most groups they have (powers of two).
+FINE, MOST_FINE = 2, 1 << 13
+#: Words of finer points that a search compares at once.
+COMPARED = 1 << 20
 #: Pairs of classes that a task holds to give each of them once.
 HELD = 1 << 20
 
@@ -111,6 +118,15 @@ def point(own: np.ndarray) -> bytes:
     return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
 
 
+def odd_groups(own: np.ndarray) -> bytes:
+    """One bit per fine group, by low bits, set if its count is odd; the number of groups is a power of two."""
+    groups = 64
+    while groups < min(FINE * len(own), MOST_FINE):
+        groups *= 2
+    counts = np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
 def bit_map(rows: DataFrame, column: str) -> np.ndarray:
     """Marks the low bits of a 64-bit column; the driver gets 2^BITS bits whatever the number of rows."""
     low = F.col(column).bitwiseAND((1 << BITS) - 1)
@@ -173,7 +189,7 @@ def _prefixes(words: int, percent: int, often):
 
 
 def _wanted_sets(words: int, wanted):
-    """Sets of the documents that the bit map of ``row_key`` marks."""
+    """Sets of the documents that the bit map of ``row_key`` marks, and their finer points."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +197,10 @@ def _wanted_sets(words: int, wanted):
             chosen = batch.take(pa.array(np.flatnonzero(marked(wanted.value, keys))))
             for block in common.blocks(iter([chosen])):
                 sets = shingle_sets(block.column("text"), words)
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("row_key"), pa.array([s.tobytes() for s in sets], pa.binary())], ["row_key", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([
+                    block.column("row_key"), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([odd_groups(s) for s in sets], pa.binary()),
+                ], ["row_key", "shingles", "odd"])
 
     return read
 
@@ -279,6 +296,37 @@ def points_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype(np.uint32) for p in found])
 
 
+class FinePoints:
+    """The finer points of the rows of a batch (``odd_groups``), of any sizes."""
+
+    def __init__(self, odd: pa.Array):
+        found = odd.to_pylist()
+        self.words = np.frombuffer(b"".join(found), "<u8")
+        self.length = np.array([len(p) // 8 for p in found], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def folded(self, rows: np.ndarray, length: int) -> np.ndarray:
+        """The points with so many words only: what falls into one group is odd if an odd number of its parts is."""
+        out = self.words[self.start[rows, None] + np.arange(length)]
+        parts = self.length[rows] // length
+        for part in range(1, parts.max(initial=1)):
+            more = np.flatnonzero(parts > part)
+            out[more] ^= self.words[self.start[rows[more], None] + np.arange(part * length, (part + 1) * length)]
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The fewest shingles that only one of two sets has."""
+        out = np.zeros(len(a), np.int64)
+        least = np.minimum(self.length[a], self.length[b])
+        for length in np.unique(least).tolist():
+            those = np.flatnonzero(least == length)
+            step = max(1, COMPARED // length)
+            for at in (those[k : k + step] for k in range(0, len(those), step)):
+                differ = self.folded(a[at], length) ^ self.folded(b[at], length)
+                out[at] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def surviving(
     batch: pa.RecordBatch, points: np.ndarray, percent: int, group: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -342,13 +390,24 @@ def _partners(percent: int):
 
 
 def _pairs_between(percent: int):
-    """Surviving pairs of classes whose groups differ, each once per task as long as ``HELD`` pairs can be held."""
+    """Surviving pairs of classes whose groups differ, each once per task as long as ``HELD`` pairs can be held.
+
+    Pairs whose finer points (``odd``, if the rows have them) differ too much are not given.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((2, 0), np.int64)
         for batch in _by_key(batches):
-            owner, group = batch.column("class").to_numpy(), batch.column("label").to_numpy()
-            found = [(owner[a], owner[b]) for a, b in surviving(batch, points_of(batch), percent, group) if len(a)]
+            owner, group, size = (batch.column(c).to_numpy() for c in ("class", "label", "n"))
+            fine = FinePoints(batch.column("odd")) if "odd" in batch.schema.names else None
+            found = []
+            for a, b in surviving(batch, points_of(batch), percent, group):
+                if fine is not None:
+                    both = size[a] + size[b]
+                    kept = (100 + percent) * (both - fine.apart(a, b)) >= 2 * percent * both
+                    a, b = a[kept], b[kept]
+                if len(a):
+                    found.append((owner[a], owner[b]))
             if found:
                 one, two = (np.concatenate(side) for side in zip(*found))
                 held = np.unique(np.concatenate([held, np.stack([np.minimum(one, two), np.maximum(one, two)])], axis=1), axis=1)
@@ -420,10 +479,10 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     ))
     points = classes.select("class", "n", "point")
 
-    def in_cells(rows: DataFrame, search, schema: str) -> DataFrame:
+    def in_cells(rows: DataFrame, points: DataFrame, search, schema: str) -> DataFrame:
         return rows.join(points, "class").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, schema)
 
-    partners = in_cells(cells, _partners(percent), "class long, bound double, near long, least long").groupBy("class").agg(
+    partners = in_cells(cells, points, _partners(percent), "class long, bound double, near long, least long").groupBy("class").agg(
         F.max_by("near", F.struct("bound", -F.col("near"))).alias("near"), F.min("least").alias("least")
     )
     first = materialize(
@@ -436,8 +495,8 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     chosen = materialize(asked.join(classes, "class").select("class", "row_key"))
     wanted = spark.sparkContext.broadcast(bit_map(chosen, "row_key"))
     sets = materialize(
-        read.select("row_key", "text").mapInArrow(_wanted_sets(words, wanted), "row_key long, shingles binary")
-        .join(common.broadcast_if_small(chosen, F.lit(16)), "row_key").select("class", "shingles").dropDuplicates(["class"])
+        read.select("row_key", "text").mapInArrow(_wanted_sets(words, wanted), "row_key long, shingles binary, odd binary")
+        .join(common.broadcast_if_small(chosen, F.lit(16)), "row_key").select("class", "shingles", "odd").dropDuplicates(["class"])
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -451,7 +510,8 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
         common.broadcast_if_small(labels, F.lit(16)), "class", "left"
     ).select("key", "class", "before", "place", F.coalesce("label", "class").alias("label"))
     open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
-    between = in_cells(labelled.join(open_keys, "key"), _pairs_between(percent), "a long, b long")
+    finer = points.join(sets.select("class", "odd"), "class")
+    between = in_cells(labelled.join(open_keys, "key"), finer, _pairs_between(percent), "a long, b long")
     second = materialize(between.distinct().join(first, ["a", "b"], "left_anti"))
     links = links.union(verified(second))
     grouped = classes.select("class", "doc_id").join(groups(links), "class", "left").select(

@@ -118,6 +118,43 @@ def test_a_pair_is_asked_where_enough_is_left_and_given_once_per_task():
     assert sum(b.num_rows for b in partners(cells([(11, 11)]))) == 2 and not sum(b.num_rows for b in partners(cells([(12, 0)])))
 
 
+@pytest.mark.parametrize("sizes", [(3, 3), (60, 70), (120, 140), (250, 260), (9000, 11000)])
+def test_finer_points_differ_in_no_more_than_the_sets(sizes):
+    dealt = np.random.default_rng(sizes[0])
+    draw = lambda n: dealt.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + dealt.integers(0, 2, n, np.uint64)
+    common_part, sets = draw(min(sizes)), []
+    for size in sizes:
+        for kept in (0, min(sizes) // 2, min(sizes) * 9 // 10, min(sizes)):
+            sets.append(np.concatenate([common_part[:kept], draw(size - kept)]))
+    fine = jaccard_join.FinePoints(pa.array([jaccard_join.odd_groups(s) for s in sets]))
+    a, b = (side.ravel() for side in np.indices((len(sets), len(sets))))
+    true = [len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    found = fine.apart(a, b)
+    assert all(found <= true) and not any((found - true) % 2)
+    assert all(found[k] >= 0.1 * (len(sets[a[k]]) + len(sets[b[k]])) for k in range(len(true)) if true[k] > min(sizes) > 60)
+
+
+def test_long_texts_that_share_a_passage_are_not_listed_in_pairs(spark, monkeypatch):
+    tables, store = [], jaccard_join.materialize
+
+    def counted(rows):
+        kept = store(rows)
+        if kept.columns == ["a", "b"]:
+            tables.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    dealt = random.Random(7)
+    passage = [f"p{k}" for k in range(100)]
+    texts = [" ".join([*passage, *(f"{dealt.getrandbits(60):x}" for _ in range(10_000))]) for _ in range(15)]
+    texts.append(texts[3] + " end")
+    docs = odd_documents(spark, [(100 + k, t, None, None) for k, t in enumerate(texts)]).where("doc_id >= 100")
+    found = {r.doc_id: r.component_id for r in jaccard_join.components(docs).collect()}
+    assert found == {**{100 + k: 100 + k for k in range(15)}, 115: 103}
+    asked, linked, _, listed, *_ = tables
+    assert asked > 10 and linked == 1 and listed == 0  # of more than 80 pairs whose coarse points are alike
+
+
 def test_one_row_of_a_group_stays_whatever_the_ids(spark):
     def versions(name, count):
         words = [f"{name}{k}" for k in range(200)]
