@@ -59,7 +59,7 @@ def test_odd_rows_go_through_every_stage(spark, sf_dir):
 def test_all_operators_are_registered():
     import __spark_entry__ as driver
 
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.queries()}
     assert set(queries.queries()) | {"pipeline"} <= set(driver.queries())
 
 
